@@ -6,13 +6,18 @@ their own interfaces in the modules beside this one.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import chat, rules
+from bytespan.llm import bpe, chat, rules
 from bytespan.llm.common import saved
 
 
+#: The vocabulary file of the contracts; the operators take any path.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,8 +114,14 @@ FROM judged j LEFT JOIN picked p ON j.lang IS NOT DISTINCT FROM p.lang AND j.sou
     ),
 )
 
+def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded; the digests of both."""
+    return bpe.digest_column(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+
+
 QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
+    "op3_bpe_rounds": op3_bpe_rounds,
     "op9_adaptive_rules": op9_adaptive_rules,
 }
 ORACLES = {
