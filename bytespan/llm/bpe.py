@@ -29,6 +29,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from bytespan.llm.common import ship
+
 #: Pieces that a worker remembers; beyond, its memory starts anew.
 REMEMBERED = 200_000
 #: Control characters that Python's split takes for white space but regular expressions don't.
@@ -49,7 +51,9 @@ def byte_alphabet() -> list[str]:
 class Vocabulary:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, only_ids: bool = False):
+        """only_ids: look_up() gives the ids of a piece as little-endian bytes alone, and remembers more pieces."""
+        self.only_ids, self.most = only_ids, REMEMBERED * (2 if only_ids else 1)
         spec = json.loads(text)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -71,8 +75,8 @@ class Vocabulary:
         self.keys, self.ranks, self.made = keys[by_key], order[by_key], np.append(made, -1)
         self.none = len(order)  # the rank of pairs that don't merge
         self.keys, self.ranks = np.append(self.keys, np.iinfo(np.int64).max), np.append(self.ranks, self.none)
-        self.memory: dict[str, tuple[int, str, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, str, bytes]] = {}
+        self.memory: dict[str, tuple[int, str, str] | bytes] = {}
+        self.older: dict[str, tuple[int, str, str] | bytes] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, by binary search over the sorted pair keys."""
@@ -152,7 +156,7 @@ class Vocabulary:
         return text.split()
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Remember each piece as (number of tokens, its ids as text, its tokens as text, its ids as bytes)."""
+        """Remember each piece as (number of tokens, its ids as text, its tokens as text), or with only_ids as their bytes."""
         ascii_word = lambda p: p.isascii() and p.isalpha()
         found, words = [], {}
         for p in pieces:
@@ -160,7 +164,8 @@ class Vocabulary:
                 found.append((p, words.setdefault(p.lower(), len(words)), None))
             elif p[:2] == "\0\0" and p[2:] in self.added:
                 i = self.added[p[2:]]
-                self.memory[p] = (1, str(i), p[2:], np.array([i], "<u4").tobytes())
+                raw = np.array([i], "<u4").tobytes()
+                self.memory[p] = raw if self.only_ids else (1, str(i), p[2:])
             else:
                 own = self.words.findall(self.normalised(p))
                 found.append((p, -1, [words.setdefault(w, len(words)) for w in own]))
@@ -168,26 +173,28 @@ class Vocabulary:
             return
         ids, at = self.merge_words(list(words)) if words else (np.empty(0, np.int64), np.zeros(1, np.int64))
         raw, flat, at = ids.astype("<u4").tobytes(), ids.tolist(), at.tolist()
+        if self.only_ids:
+            made = [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+            self.memory.update((p, made[one] if many is None else b"".join([made[k] for k in many])) for p, one, many in found)
+            return
         as_ids, as_tokens = list(map(str, flat)), list(map(self.tokens.__getitem__, flat))
-        made = []
-        for a, b in zip(at, at[1:]):
-            made.append((b - a, " ".join(as_ids[a:b]), " ".join(as_tokens[a:b]), raw[4 * a : 4 * b]))
+        made = [(b - a, " ".join(as_ids[a:b]), " ".join(as_tokens[a:b])) for a, b in zip(at, at[1:])]
         for p, one, many in found:
             if many is None:
                 self.memory[p] = made[one]
             else:
-                n, i, t, r = zip(*[made[k] for k in many], strict=True) if many else ((), (), (), ())
-                self.memory[p] = (sum(n), " ".join(i), " ".join(t), b"".join(r))
+                n, i, t = zip(*[made[k] for k in many], strict=True) if many else ((), (), ())
+                self.memory[p] = (sum(n), " ".join(i), " ".join(t))
 
-    def look_up(self, texts: list[str | None]) -> list[list[tuple[int, str, str, bytes]]]:
+    def look_up(self, texts: list[str | None]) -> list[list]:
         """What is remembered of each text's pieces, in order; each piece has a token at least.
 
-        Memory has two generations of at most REMEMBERED pieces, besides those of
+        Memory has two generations of at most self.most pieces, besides those of
         the texts at hand: what an older one knows moves on when it is met again.
         """
         cut = [self.pieces(t) if t else [] for t in texts]
         new = set().union(*cut)
-        if len(self.memory) > REMEMBERED:
+        if len(self.memory) > self.most:
             self.older, self.memory = self.memory, {}
         new.difference_update(self.memory)
         known = new.intersection(self.older)
@@ -199,7 +206,8 @@ class Vocabulary:
         return [list(map(get, pieces)) for pieces in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for x in self.look_up([text])[0] for i in x[1].split()]
+        found = self.look_up([text])[0]
+        return np.frombuffer(b"".join(found), "<u4").tolist() if self.only_ids else [int(i) for x in found for i in x[1].split()]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by one space; unknown ids are passed over."""
@@ -222,12 +230,12 @@ def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[slice]:
 _loaded: dict[str, Vocabulary] = {}
 
 
-def vocabulary(text: str) -> Vocabulary:
+def vocabulary(text: str, only_ids: bool = False) -> Vocabulary:
     """The worker's vocabulary of a file's text, built once; only the last one stays."""
-    name = hashlib.sha256(text.encode()).hexdigest()
+    name = f"{hashlib.sha256(text.encode()).hexdigest()} {only_ids}"
     if name not in _loaded:
         _loaded.clear()
-        _loaded[name] = Vocabulary(text)
+        _loaded[name] = Vocabulary(text, only_ids)
         gc.freeze()  # what stays for good need not be searched for garbage again and again
         gc.disable()  # the entries of the memory hold no cycles
     return _loaded[name]
@@ -235,6 +243,7 @@ def vocabulary(text: str) -> Vocabulary:
 
 def broadcast_file(spark: SparkSession, path: str):
     """The vocabulary file's text, for all executors. Its size is that of the file, whatever the data."""
+    ship(spark)
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 

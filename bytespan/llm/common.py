@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever they run: Spark serves it to them as a zip file, once a session."""
+    context, name = spark.sparkContext, "bytespan_workers.zip"
+    if any(name in f for f in context.listFiles):
+        return
+    root = Path(__file__).resolve().parents[1]
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='bytespan-')}/bytespan_workers", "zip", root.parent, root.name)
+    context.addPyFile(made)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 

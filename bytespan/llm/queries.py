@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import bpe, chat, rules
+from bytespan.llm import bpe, chat, packing, rules
 from bytespan.llm.common import saved
 
 
@@ -119,10 +119,16 @@ def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_column(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
     "op3_bpe_rounds": op3_bpe_rounds,
     "op9_adaptive_rules": op9_adaptive_rules,
+    "op10_retrieval_packing": op10_retrieval_packing,
 }
 ORACLES = {
     "op1_prefix_target_chat": OP1_SQL,
