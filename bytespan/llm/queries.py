@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import bpe, chat, packing, rules
+from bytespan.llm import bpe, chat, packing, rules, vafile
 from bytespan.llm.common import saved
 
 
@@ -119,6 +119,25 @@ def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_column(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
+def op8_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best neighbours of every vector whose id is divisible by 50, among all."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id AND len(q.e) = len(d.e)
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -127,10 +146,12 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
     "op3_bpe_rounds": op3_bpe_rounds,
+    "op8_va_file_topk": op8_va_file_topk,
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_retrieval_packing": op10_retrieval_packing,
 }
 ORACLES = {
     "op1_prefix_target_chat": OP1_SQL,
+    "op8_va_file_topk": OP8_SQL,
     "op9_adaptive_rules": OP9_SQL,
 }
