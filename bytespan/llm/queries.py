@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import bpe, chat, packing, rules, vafile
+from bytespan.llm import bpe, chat, ngramjoin, packing, rules, vafile
 from bytespan.llm.common import saved
 
 
@@ -119,6 +119,11 @@ def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_column(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngramjoin.groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op8_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours of every vector whose id is divisible by 50, among all."""
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -146,6 +151,7 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
     "op3_bpe_rounds": op3_bpe_rounds,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op8_va_file_topk": op8_va_file_topk,
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_retrieval_packing": op10_retrieval_packing,
