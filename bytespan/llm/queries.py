@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import bpe, chat, ngramjoin, packing, rules, vafile
+from bytespan.llm import bpe, chat, fm, ngramjoin, packing, rules, vafile
 from bytespan.llm.common import saved
 
 
@@ -124,6 +124,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    return fm.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours of every vector whose id is divisible by 50, among all."""
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -152,6 +157,7 @@ QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
     "op3_bpe_rounds": op3_bpe_rounds,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_factorisation_machine": op7_factorisation_machine,
     "op8_va_file_topk": op8_va_file_topk,
     "op9_adaptive_rules": op9_adaptive_rules,
     "op10_retrieval_packing": op10_retrieval_packing,
