@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import bpe, chat, fm, ngramjoin, packing, rules, vafile
+from bytespan.llm import bpe, chat, fm, ngramjoin, packing, pages, rules, vafile
 from bytespan.llm.common import saved
 
 
@@ -124,6 +124,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, and its length."""
+    return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document."""
     return fm.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -157,6 +162,7 @@ QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
     "op3_bpe_rounds": op3_bpe_rounds,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_main_text": op6_main_text,
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_va_file_topk": op8_va_file_topk,
     "op9_adaptive_rules": op9_adaptive_rules,
