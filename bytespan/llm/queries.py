@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import bpe, chat, fm, ngramjoin, packing, pages, rules, vafile
+from bytespan.llm import bpe, chat, fm, ngramjoin, packing, pages, rules, surrogates, vafile
 from bytespan.llm.common import saved
 
 
@@ -114,6 +114,15 @@ FROM judged j LEFT JOIN picked p ON j.lang IS NOT DISTINCT FROM p.lang AND j.sou
     ),
 )
 
+#: The key of the registered query; users give their own.
+SURROGATE_KEY = b"bytespan registered query"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with every detected entity replaced."""
+    return surrogates.replace_pii(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded; the digests of both."""
     return bpe.digest_column(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
@@ -160,6 +169,7 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_bpe_rounds": op3_bpe_rounds,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_main_text": op6_main_text,
