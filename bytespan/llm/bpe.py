@@ -33,6 +33,8 @@ from bytespan.llm.common import ship
 
 #: Pieces that a worker remembers; beyond, its memory starts anew.
 REMEMBERED = 200_000
+#: Marks that never belong to a word beside letters.
+PLAIN_ENDS = frozenset(",.!?;:")
 #: Control characters that Python's split takes for white space but regular expressions don't.
 ODD_SPACES = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -53,7 +55,7 @@ class Vocabulary:
 
     def __init__(self, text: str, only_ids: bool = False):
         """only_ids: look_up() gives the ids of a piece as little-endian bytes alone, and remembers more pieces."""
-        self.only_ids, self.most = only_ids, REMEMBERED * (2 if only_ids else 1)
+        self.only_ids, self.most = only_ids, REMEMBERED * (3 if only_ids else 1)
         spec = json.loads(text)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -157,18 +159,20 @@ class Vocabulary:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Remember each piece as (number of tokens, its ids as text, its tokens as text), or with only_ids as their bytes."""
-        ascii_word = lambda p: p.isascii() and p.isalpha()
         found, words = [], {}
+        add = words.setdefault
         for p in pieces:
-            if ascii_word(p):
-                found.append((p, words.setdefault(p.lower(), len(words)), None))
+            low = p.lower() if p.isascii() else self.normalised(p)
+            if low.isalpha():  # one run of letters
+                found.append((p, add(low, len(words)), None))
+            elif low[-1] in PLAIN_ENDS and low[:-1].isalpha():  # letters and one mark, as most other pieces
+                found.append((p, -1, (add(low[:-1], len(words)), add(low[-1], len(words)))))
             elif p[:2] == "\0\0" and p[2:] in self.added:
                 i = self.added[p[2:]]
                 raw = np.array([i], "<u4").tobytes()
                 self.memory[p] = raw if self.only_ids else (1, str(i), p[2:])
             else:
-                own = self.words.findall(self.normalised(p))
-                found.append((p, -1, [words.setdefault(w, len(words)) for w in own]))
+                found.append((p, -1, [add(w, len(words)) for w in self.words.findall(low)]))
         if not found:
             return
         ids, at = self.merge_words(list(words)) if words else (np.empty(0, np.int64), np.zeros(1, np.int64))
