@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.llm import bpe, chat, fm, ngramjoin, packing, pages, rules, surrogates, vafile
+from bytespan.llm import bpe, chat, fm, linededup, ngramjoin, packing, pages, rules, surrogates, vafile
 from bytespan.llm.common import saved
 
 
@@ -128,6 +128,11 @@ def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_column(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that are similar to an earlier line."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return ngramjoin.groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -171,6 +176,7 @@ QUERIES = {
     "op1_prefix_target_chat": op1_prefix_target_chat,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_bpe_rounds": op3_bpe_rounds,
+    "op4_line_dedup": op4_line_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_main_text": op6_main_text,
     "op7_factorisation_machine": op7_factorisation_machine,
