@@ -1 +1,121 @@
-""""""
+"""Adaptive code length as an aggregation, and static blends of models.
+
+A Laplace model that predicts (count + 1) / (total + 256) and then counts is
+exchangeable: its cost over a blob does not depend on the order of bytes, so
+
+    bits = sum over contexts [lgamma2(N + 256) - lgamma2(256)] - sum over (context, byte) lgamma2(n + 1)
+
+Blobs are dealt out once by id; both aggregations then need no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bytespan.functions.bytes import lgamma2
+from bytespan.operators.profile import byte_counts
+from bytespan.registry import query
+from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, document_blobs
+
+
+def context_pairs(blobs: DataFrame, order: int) -> DataFrame:
+    """(doc_id, key): for every byte the order bytes before it (zeros before the start) and itself, as binary."""
+    padded = F.concat(F.unhex(F.lit("00" * order)), F.col("data")) if order else F.col("data")
+    n = F.octet_length("data")
+    rows = blobs.filter(n > 0).repartition("doc_id").select("doc_id", padded.alias("d"), n.alias("n"))
+    # slices are taken before the explode, so rows don't carry the blob
+    keys = F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.substring(F.col("d"), p, F.lit(order + 1)))
+    return rows.select("doc_id", F.explode(keys).alias("key"))
+
+
+def code_length(pairs: DataFrame, context: Column) -> DataFrame:
+    """(doc_id, n_bytes, bits) of (doc_id, key), where key holds context and byte and context is an expression of key."""
+    counts = pairs.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    by_context = counts.groupBy("doc_id", context.alias("context")).agg(F.sum("n").alias("total"), F.sum(lgamma2(F.col("n").cast("double") + 1)).alias("inner"))
+    cost = lgamma2(F.col("total").cast("double") + 256) - lgamma2(F.lit(256.0))
+    return by_context.groupBy("doc_id").agg(F.sum("total").alias("n_bytes"), F.sum(cost - F.col("inner")).alias("bits"), F.count("*").alias("n_contexts"))
+
+
+def order_n(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    out = code_length(context_pairs(document_blobs(spark, sf_dir), order), F.substring("key", 1, order))
+    return out.select("doc_id", "n_bytes", "n_contexts", F.round("bits", 3).alias("bits"), F.round(F.col("bits") / F.col("n_bytes"), 5).alias("bits_per_byte"))
+
+
+LENGTH_SQL = """counts AS (SELECT doc_id, ctx, b, count(*) AS n FROM pairs GROUP BY doc_id, ctx, b),
+by_ctx AS (SELECT doc_id, ctx, sum(n) AS total, sum(lgamma(n + 1.0)) AS inner_ FROM counts GROUP BY doc_id, ctx),
+lengths AS (SELECT doc_id, CAST(sum(total) AS BIGINT) AS n_bytes, count(*) AS n_contexts, sum(lgamma(total + 256.0) - lgamma(256.0) - inner_) / ln(2) AS bits FROM by_ctx GROUP BY doc_id)
+SELECT doc_id, n_bytes, n_contexts, round(bits, 3) AS bits, round(bits / n_bytes, 5) AS bits_per_byte FROM lengths"""
+POSITIONS_SQL = """positions AS (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, regexp_extract_all(h, '..') AS l FROM blobs))"""
+
+
+def order_sql(order: int) -> str:
+    ctx = " || ".join(f"lag(b, {k}, '00') OVER w" for k in range(order, 0, -1)) or "''"
+    return f"WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, pairs AS (SELECT doc_id, b, {ctx} AS ctx FROM positions WINDOW w AS (PARTITION BY doc_id ORDER BY p)), {LENGTH_SQL}"
+
+
+@query(order_sql(1))
+def order1_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each document under an adaptive order-1 model."""
+    return order_n(spark, sf_dir, 1)
+
+
+@query(order_sql(2))
+def order2_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 2."""
+    return order_n(spark, sf_dir, 2)
+
+
+@query(order_sql(4))
+def order4_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 4."""
+    return order_n(spark, sf_dir, 4)
+
+
+@query(order_sql(5))
+def order5_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order 5; order_n takes any order."""
+    return order_n(spark, sf_dir, 5)
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, w1 AS (SELECT doc_id, b, p, lag(b, 1, '00') OVER (PARTITION BY doc_id ORDER BY p) AS c FROM positions WHERE p <= 2048),
+t AS (SELECT doc_id, p, ln((count(*) OVER (PARTITION BY doc_id, c, b ORDER BY p) - 1 + 1.0) / (count(*) OVER (PARTITION BY doc_id, c ORDER BY p) - 1 + 256.0)) AS l1,
+  ln((count(*) OVER (PARTITION BY doc_id, b ORDER BY p) - 1 + 1.0) / (p - 1 + 256.0)) AS l0 FROM w1)
+SELECT doc_id, count(*) AS n_bytes, round(-sum(l0) / ln(2), 3) AS order0_bits, round(-sum(l1) / ln(2), 3) AS order1_bits,
+round(-sum(ln(0.5 * exp(l0) + 0.5 * exp(l1))) / ln(2), 3) AS mixed_bits FROM t GROUP BY doc_id""")
+def ablation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2048 bytes of each document (the feature's window): bits under order 0, order 1, and an even mixture byte by byte."""
+    t = per_byte(document_blobs(spark, sf_dir), 2048)
+    bits = lambda x: F.round(-F.sum(x) / F.lit(0.6931471805599453), 3)
+    mix = F.log(0.5 * F.exp("l0") + 0.5 * F.exp("l1"))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_bytes"), bits(F.col("l0")).alias("order0_bits"), bits(F.col("l1")).alias("order1_bits"), bits(mix).alias("mixed_bits"))
+
+
+def per_byte(blobs: DataFrame, most: int) -> DataFrame:
+    """(doc_id, p, l0, l1): natural logarithms of what orders 0 and 1 predict for each of the first most bytes.
+
+    The value at every byte is wanted, so counts seen so far are windows over what each document holds."""
+    head = blobs.select("doc_id", F.substring("data", 1, most).alias("data"))
+    n = F.octet_length("data")
+    rows = head.filter(n > 0).repartition("doc_id").select("doc_id", F.concat(F.unhex(F.lit("00")), F.col("data")).alias("d"), n.alias("n"))
+    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.substring(F.col("d"), p, F.lit(2)))).alias("p", "key"))
+    rows = rows.select("doc_id", "p", F.substring("key", 1, 1).alias("c"), F.substring("key", 2, 1).alias("b"))
+    seen = lambda *by: (F.row_number().over(Window.partitionBy("doc_id", *by).orderBy("p")) - 1).cast("double")
+    l1 = F.log((seen("c", "b") + 1) / (seen("c") + 256))
+    l0 = F.log((seen("b") + 1) / (F.col("p") + 256.0))
+    return rows.select("doc_id", "p", l0.alias("l0"), l1.alias("l1"))
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, n AS (SELECT b, count(*) AS c FROM positions GROUP BY b), m AS (SELECT b, count(*) AS c FROM positions WHERE p <= 256 GROUP BY b),
+p AS (SELECT n.b, n.c / sum(n.c) OVER () AS p, (coalesce(m.c, 0) + 1.0) / (sum(coalesce(m.c, 0) + 1) OVER ()) AS q FROM n LEFT JOIN m ON n.b = m.b),
+g AS (SELECT b, exp(0.75 * ln(p) + 0.25 * ln(q)) AS g FROM p) SELECT b AS byte, round(g / sum(g) OVER (), 9) AS blended FROM g""")
+def blend_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted geometric mean of two byte distributions, of whole documents (3/4) and of their first 256 bytes (1/4), renormalised."""
+    blobs = document_blobs(spark, sf_dir)
+    n = byte_counts(blobs).withColumnRenamed("n", "c")
+    m = byte_counts(blobs.select("doc_id", F.substring("data", 1, 256).alias("data"))).withColumnRenamed("n", "d")
+    rows = n.join(m, "b", "left").withColumn("d", F.coalesce("d", F.lit(0)) + 1)  # 256 rows at most
+    total = rows.agg(F.sum("c").alias("tc"), F.sum("d").alias("td"))
+    rows = rows.crossJoin(F.broadcast(total)).withColumn("g", F.exp(0.75 * F.log(F.col("c") / F.col("tc")) + 0.25 * F.log(F.col("d") / F.col("td"))))
+    whole = rows.agg(F.sum("g").alias("tg"))
+    return rows.crossJoin(F.broadcast(whole)).select(F.lpad(F.hex(F.col("b").cast("long")), 2, "0").alias("byte"), F.round(F.col("g") / F.col("tg"), 9).alias("blended"))

@@ -1 +1,255 @@
-""""""
+"""Context statistics: order-n tops, sparse, stride, indirect and case-folded contexts, words, runs, matches, lines."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bytespan.functions.bytes import lgamma2
+from bytespan.functions.workers import ship
+from bytespan.operators.codelength import LENGTH_SQL, POSITIONS_SQL, code_length, context_pairs
+from bytespan.registry import query
+from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, document_blobs, table
+
+#: Skip contexts by the places of the bytes before that they see, and strides (fixed values).
+SPARSE = {"h1": (2,), "h0_h2": (1, 3), "h1_h2": (2, 3), "h0_h3": (1, 4), "h2_h3": (3, 4)}
+STRIDES = (2, 3, 4, 8)
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, c AS (SELECT lag(b, 3, '00') OVER w || lag(b, 2, '00') OVER w || lag(b, 1, '00') OVER w AS context, b FROM positions WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+n AS (SELECT context, count(*) AS n, count(DISTINCT b) AS n_next FROM c GROUP BY context) SELECT context, n, n_next FROM n ORDER BY n DESC, context LIMIT 100""")
+def order3_context_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 commonest contexts of three bytes, and how many bytes follow each (a top-k report)."""
+    pairs = context_pairs(document_blobs(spark, sf_dir), 3).groupBy("key").agg(F.count("*").alias("c"))
+    by = pairs.groupBy(F.hex(F.substring("key", 1, 3)).alias("context")).agg(F.sum("c").alias("n"), F.count("*").alias("n_next"))
+    return by.orderBy(F.desc("n"), "context").limit(100)
+
+
+def picked(places: tuple[int, ...], order: int):
+    """The bytes at these places before the coded one, out of a key of order bytes and the coded one."""
+    return F.concat(*[F.substring("key", order + 1 - p, 1) for p in places])
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def view_lengths(blobs: DataFrame, order: int, views: dict) -> DataFrame:
+    """Bits of all blobs under an adaptive model of each view, a column expression of (key, size)."""
+    pairs = context_pairs(blobs, order).withColumn("byte", F.substring("key", order + 1, 1))
+    frames = []
+    for name, context in views.items():
+        own = pairs.select("doc_id", F.concat(context, F.col("byte")).alias("key"))
+        size = F.octet_length("key") - 1
+        bits = code_length(own, F.substring(F.col("key"), F.lit(1), size))
+        frames.append(bits.agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_contexts").alias("n_contexts"), F.round(F.sum("bits"), 2).alias("bits")).select(F.lit(name).alias("view"), "n_bytes", "n_contexts", "bits"))
+    return union(frames)
+
+
+def views_sql(views: dict[str, str]) -> str:
+    cte = LENGTH_SQL[: LENGTH_SQL.index("SELECT doc_id, n_bytes, n_contexts, round")]
+    lags = ", ".join(f"lag(b, {k}, '00') OVER w AS l{k}" for k in range(1, 17))
+    parts = [f"SELECT * FROM (WITH pairs AS (SELECT doc_id, b, {e} AS ctx FROM lagged), {cte} SELECT '{n}' AS view, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, CAST(sum(n_contexts) AS BIGINT) AS n_contexts, round(sum(bits), 2) AS bits FROM lengths)" for n, e in views.items()]
+    return f"WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, lagged AS (SELECT doc_id, b, {lags} FROM positions WINDOW w AS (PARTITION BY doc_id ORDER BY p)) " + " UNION ALL ".join(parts)
+
+
+NIBBLES_SQL = "l1[1] || l2[1]"
+
+
+@query(views_sql({n: " || ".join(f"l{p}" for p in places) for n, places in SPARSE.items()} | {"high_nibbles": NIBBLES_SQL}))
+def sparse_context_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits under contexts that skip bytes, and under the high halves of the last two."""
+    views = {n: picked(p, 4) for n, p in SPARSE.items()}
+    high = lambda p: F.substring(F.hex(F.substring("key", 5 - p, 1)), 1, 1)
+    views["high_nibbles"] = F.encode(F.concat(high(1), high(2)), "UTF-8")
+    return view_lengths(document_blobs(spark, sf_dir), 4, views)
+
+
+@query(views_sql({f"stride_{s}": f"l{s} || l{2 * s}" for s in STRIDES}))
+def stride_context_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits under the two earlier samples of the same lane."""
+    return view_lengths(document_blobs(spark, sf_dir), 16, {f"stride_{s}": picked((s, 2 * s), 16) for s in STRIDES})
+
+
+FOLD_SQL = " || ".join(f"printf('%02X', ('0x' || l{k})::INT | 32)" for k in (3, 2, 1))
+
+
+@query(views_sql({"casefold_order3": FOLD_SQL}))
+def casefold_order3_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits under the last three bytes with their case bit set."""
+    folded = lambda k: F.lpad(F.hex(F.conv(F.hex(F.substring("key", k, 1)), 16, 10).cast("long").bitwiseOR(F.lit(32).cast("long"))), 2, "0")
+    return view_lengths(document_blobs(spark, sf_dir), 3, {"casefold_order3": F.unhex(F.concat(folded(1), folded(2), folded(3)))})
+
+
+def indirect_sql(n: int) -> str:
+    ctx = " || ".join(f"lag(b, {k}, '00') OVER w" for k in range(n, 0, -1))
+    return f"SELECT {n} AS context_bytes, doc_id, b, p, {ctx} AS ctx FROM positions WINDOW w AS (PARTITION BY doc_id ORDER BY p)"
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, c AS ({" UNION ALL ".join(map(indirect_sql, (2, 3, 4)))}),
+h AS (SELECT *, lag(b) OVER (PARTITION BY context_bytes, doc_id, ctx ORDER BY p) AS before FROM c)
+SELECT context_bytes, doc_id, count(*) AS n, count(before) AS n_seen, count(*) FILTER (before = b) AS n_hits FROM h GROUP BY context_bytes, doc_id""")
+def indirect_context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the byte that followed the same context last time follows it again, for contexts of 2, 3 and 4 bytes."""
+    blobs = document_blobs(spark, sf_dir)
+    return union([indirect_hits(blobs, n) for n in (2, 3, 4)])
+
+
+def indirect_hits(blobs: DataFrame, n: int) -> DataFrame:
+    padded = F.concat(F.unhex(F.lit("00" * n)), F.col("data"))
+    size = F.octet_length("data")
+    rows = blobs.filter(size > 0).repartition("doc_id").select("doc_id", padded.alias("d"), size.alias("size"))
+    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda p: F.substring(F.col("d"), p, F.lit(n + 1)))).alias("p", "key"))
+    rows = rows.select("doc_id", "p", F.substring("key", 1, n).alias("ctx"), F.substring("key", n + 1, 1).alias("b"))
+    rows = rows.withColumn("before", F.lag("b").over(Window.partitionBy("doc_id", "ctx").orderBy("p")))
+    out = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("before").alias("n_seen"), F.count(F.when(F.col("before") == F.col("b"), 1)).alias("n_hits"))
+    return out.select(F.lit(n).alias("context_bytes"), "doc_id", "n", "n_seen", "n_hits")
+
+
+def word_grams(docs: DataFrame, n: int) -> DataFrame:
+    """(w1..wn, count) of consecutive runs of ASCII letters in lower case; grams are formed inside each row's array."""
+    rows = docs.select(F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.lower(w)).alias("w"))
+    rows = rows.filter(F.size("w") >= n)
+    names = [f"w{k + 1}" for k in range(n)]
+    grams = F.transform(F.slice("w", F.lit(1), F.size("w") - (n - 1)), lambda x, i: F.struct(x.alias("w1"), *[F.get("w", i + k).alias(f"w{k + 1}") for k in range(1, n)]))
+    return rows.select(F.explode(grams).alias("g")).select("g.*").groupBy(*names).agg(F.count("*").alias("n"))
+
+
+def grams_sql(n: int) -> str:
+    cols = ", ".join(f"w[i + {k}] AS w{k + 1}" for k in range(n))
+    names = ", ".join(f"w{k + 1}" for k in range(n))
+    return f"WITH l AS (SELECT list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS w FROM documents), g AS (SELECT {cols} FROM l, unnest(range(1, len(w) - {n - 2})) u(i)) SELECT {names}, count(*) AS n FROM g GROUP BY {names}"
+
+
+@query(grams_sql(2))
+def word_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of word pairs."""
+    return word_grams(table(spark, sf_dir, "documents"), 2)
+
+
+@query(grams_sql(3))
+def word_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of word triples."""
+    return word_grams(table(spark, sf_dir, "documents"), 3)
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, f AS (SELECT doc_id, p, b, CASE WHEN lag(b) OVER (PARTITION BY doc_id ORDER BY p) = b THEN 0 ELSE 1 END AS start FROM positions),
+g AS (SELECT doc_id, b, sum(start) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM f), r AS (SELECT doc_id, run, any_value(b) AS b, count(*) AS len FROM g GROUP BY doc_id, run)
+SELECT len, b AS byte, count(*) AS n_runs, round(1 - exp(-0.1 * len), 6) AS weight FROM r GROUP BY len, b""")
+def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal bytes by length and byte, and the weight that a run model gives each length.
+
+    Runs are matched inside each blob by one regular expression: no row per byte, no sort."""
+    runs = document_blobs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.decode("data", "ISO-8859-1"), F.lit(r"(?s)((.)\2*)"), F.lit(1))).alias("run"))
+    by = runs.groupBy(F.length("run").cast("long").alias("len"), F.substring("run", 1, 1).alias("c")).agg(F.count("*").alias("n_runs"))
+    return by.select("len", F.hex(F.encode("c", "ISO-8859-1")).alias("byte"), "n_runs", F.round(1 - F.exp(-0.1 * F.col("len")), 6).alias("weight"))
+
+
+#: The hash of four bytes, and its number of slots (fixed values).
+HASH_PRIME, SLOTS = 2654435761, 1 << 20
+VALUES_SQL = "vals AS (SELECT doc_id, p, ('0x' || b)::BIGINT AS b FROM positions)"
+SLOT_SQL = f"""slots AS (SELECT doc_id, p, b, CASE WHEN p >= 5 THEN ((xor(xor(xor(lag(b, 4) OVER w, lag(b, 3) OVER w << 3), lag(b, 2) OVER w << 7), lag(b, 1) OVER w << 13) * {HASH_PRIME}) & {SLOTS - 1}) END AS slot
+  FROM vals WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+guess AS (SELECT doc_id, p, b, slot, lag(b) OVER (PARTITION BY doc_id, slot ORDER BY p) AS guess, lag(p) OVER (PARTITION BY doc_id, slot ORDER BY p) AS q FROM slots WHERE slot IS NOT NULL)"""
+
+
+def match_guesses(blobs: DataFrame) -> DataFrame:
+    """(doc_id, p, b, slot, guess, q): for each byte after the fourth, what followed the last place with the same hash of
+    four bytes, and where. The slot is looked up before it is overwritten."""
+    n = F.octet_length("data")
+    rows = blobs.filter(n > 4).repartition("doc_id")
+    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), n - 4), lambda p: F.substring(F.col("data"), p, F.lit(5)))).alias("p", "key"))
+    value = lambda k: F.conv(F.hex(F.substring("key", k, 1)), 16, 10).cast("long")
+    v = value(1).bitwiseXOR(F.shiftleft(value(2), 3)).bitwiseXOR(F.shiftleft(value(3), 7)).bitwiseXOR(F.shiftleft(value(4), 13))
+    rows = rows.select("doc_id", (F.col("p") + 5).cast("long").alias("p"), value(5).alias("b"), (v * F.lit(HASH_PRIME)).bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    last = Window.partitionBy("doc_id", "slot").orderBy("p")
+    return rows.withColumn("guess", F.lag("b").over(last)).withColumn("q", F.lag("p").over(last))
+
+
+@query(f"WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, {VALUES_SQL}, {SLOT_SQL} SELECT doc_id, count(*) AS n, count(guess) AS n_guessed, count(*) FILTER (guess = b) AS n_hits FROM guess GROUP BY doc_id")
+def match_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the match model guesses, and is right."""
+    g = match_guesses(document_blobs(spark, sf_dir))
+    return g.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("guess").alias("n_guessed"), F.count(F.when(F.col("guess") == F.col("b"), 1)).alias("n_hits"))
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, {VALUES_SQL}, {SLOT_SQL} SELECT CAST(floor(log2(p - q)) AS INT) AS distance_class, count(*) AS n, count(*) FILTER (guess = b) AS n_hits,
+least(400 + 58 * least(CAST(floor(log2(p - q)) AS INT), 28), 2000) AS confidence FROM guess WHERE q IS NOT NULL GROUP BY 1""")
+def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match candidates by the class of their distance, with hits and the confidence that the class number would have as a length."""
+    g = match_guesses(document_blobs(spark, sf_dir)).filter(F.col("q").isNotNull())
+    g = g.withColumn("distance_class", F.floor(F.log2((F.col("p") - F.col("q")).cast("double"))).cast("int"))
+    out = g.groupBy("distance_class").agg(F.count("*").alias("n"), F.count(F.when(F.col("guess") == F.col("b"), 1)).alias("n_hits"))
+    return out.withColumn("confidence", F.least(400 + 58 * F.least(F.col("distance_class"), F.lit(28)), F.lit(2000)))
+
+
+def longest_matches(data: bytes) -> tuple[int, int, int]:
+    """(places with a match, sum and maximum of verified lengths): 8-byte candidates first, then 4-byte ones."""
+    last: dict[bytes, int] = {}
+    n = total = most = length = at = 0
+    for p in range(4, len(data)):
+        for k in (8, 4):
+            if p >= k:
+                last_p = last.get(data[p - k : p])
+                if length == 0 and last_p is not None:
+                    at, length = last_p, 0
+                    while length < 65535 and at - length > 0 and data[at - length - 1] == data[p - length - 1]:
+                        length += 1
+                last[data[p - k : p]] = p
+        if length:
+            n, total, most = n + 1, total + length, max(most, length)
+            if at < len(data) and data[at] == data[p]:
+                at, length = at + 1, length + 1
+            else:
+                length = 0
+    return n, total, most
+
+
+@query()
+def match_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified match lengths of every document. A match goes on while it is right, so this is a fold over the blob."""
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [longest_matches(bytes(d)) for d in frame["data"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_matched": [x[0] for x in found], "total_length": [x[1] for x in found], "longest": [x[2] for x in found]})
+
+    return document_blobs(spark, sf_dir).repartition("doc_id").mapInPandas(run, "doc_id long, n_matched long, total_length long, longest long")
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, w AS (SELECT doc_id, p, b, lag(b, 1, '00') OVER (PARTITION BY doc_id ORDER BY p) AS c FROM positions),
+t AS (SELECT doc_id, p, -ln((count(*) OVER (PARTITION BY doc_id, c, b ORDER BY p) + 0.0) / (count(*) OVER (PARTITION BY doc_id, c ORDER BY p) + 255.0)) / ln(2) AS bits FROM w)
+SELECT doc_id, (p - 1) // 4096 AS part, count(*) AS n, round(sum(bits), 3) AS bits FROM t GROUP BY doc_id, part""")
+def rolling_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-1 bits of every 4096-byte part of each document, with all before it learnt.
+
+    A part's cost is that of the prefix up to its end less that up to its start: per part only counts are added, so the
+    adaptive cost is an aggregation here as well, over the parts' running counts."""
+    n = F.octet_length("data")
+    padded = F.concat(F.unhex(F.lit("00")), F.col("data"))
+    rows = document_blobs(spark, sf_dir).filter(n > 0).repartition("doc_id").select("doc_id", padded.alias("d"), n.alias("n"))
+    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.substring(F.col("d"), p, F.lit(2)))).alias("p", "key"))
+    own = rows.groupBy("doc_id", F.floor(F.col("p") / 4096).alias("part"), "key").agg(F.count("*").alias("c"))
+    past = Window.partitionBy("doc_id", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("seen", F.coalesce(F.sum("c").over(past), F.lit(0)))
+    byte = F.sum(lgamma2(F.col("seen") + F.col("c") + 1.0) - lgamma2(F.col("seen") + 1.0))
+    ctx = own.groupBy("doc_id", "part", F.substring("key", 1, 1).alias("ctx")).agg(F.sum("c").alias("c"), byte.alias("inner"))
+    past = Window.partitionBy("doc_id", "ctx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ctx = ctx.withColumn("seen", F.coalesce(F.sum("c").over(past), F.lit(0)))
+    cost = lgamma2(F.col("seen") + F.col("c") + 256.0) - lgamma2(F.col("seen") + 256.0) - F.col("inner")
+    return ctx.groupBy("doc_id", "part").agg(F.sum("c").alias("n"), F.round(F.sum(cost), 3).alias("bits"))
+
+
+@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT hex(encode(line)) AS h FROM l)
+SELECT substr(h, 1, 8) AS head, least(length(h) // 2, 63) AS width, count(*) AS n FROM b GROUP BY 1, 2""")
+def line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by their first four bytes and their width in bytes, at most 63."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.encode("line", "UTF-8").alias("b"))
+    return lines.groupBy(F.hex(F.substring("b", 1, 4)).alias("head"), F.least(F.octet_length("b"), F.lit(63)).cast("long").alias("width")).agg(F.count("*").alias("n"))
