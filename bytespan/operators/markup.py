@@ -1 +1,68 @@
-""""""
+"""Markup structure of pages: bracket nesting, element counts, element depth."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bytespan.functions.workers import ship
+from bytespan.registry import query
+from bytespan.sources.blobs import table
+
+#: Depth at which the bracket stack, and the element stack, stop growing (fixed values).
+BRACKETS, ELEMENTS = 16, 8
+BRACKETS_SQL = f"""WITH c AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '[\\[\\](){{}}]') AS b FROM pages),
+d AS (SELECT page_id, len(b) AS n, list_transform(b, lambda x: CASE WHEN x IN ('[', '(', '{{') THEN 1 ELSE -1 END) AS s FROM c)
+SELECT page_id, n, CASE WHEN n = 0 THEN 0 ELSE list_reduce(s, lambda a, x: least({BRACKETS}, greatest(0, a + x)), 0) END AS final_depth FROM d"""
+
+
+@query(BRACKETS_SQL)
+def bracket_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets of each page and the depth at its end: any closer closes, never below 0 nor above 16."""
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"[\[\](){}]"), F.lit(0))
+    rows = table(spark, sf_dir, "pages").select("page_id", found.alias("b"))
+    step = lambda a, x: F.least(F.lit(BRACKETS), F.greatest(F.lit(0), a + F.when(x.isin("[", "(", "{"), 1).otherwise(-1)))
+    return rows.select("page_id", F.size("b").cast("long").alias("n"), F.aggregate("b", F.lit(0), step).alias("final_depth"))
+
+
+@query(r"""WITH t AS (SELECT unnest(regexp_extract_all(html, '<(/?[A-Za-z0-9_:]+)', 1)) AS tag FROM pages)
+SELECT lower(ltrim(tag, '/')) AS tag, count(*) FILTER (tag[1] <> '/') AS n_open, count(*) FILTER (tag[1] = '/') AS n_close FROM t GROUP BY 1""")
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening and closing tags by element."""
+    tags = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<(/?[A-Za-z0-9_:]+)"), F.lit(1))).alias("t"))
+    closing = F.col("t").startswith("/")
+    return tags.groupBy(F.lower(F.ltrim("t", F.lit("/"))).alias("tag")).agg(F.count(F.when(~closing, 1)).alias("n_open"), F.count(F.when(closing, 1)).alias("n_close"))
+
+
+TOKENS = re.compile(rb"<(/?)([A-Za-z0-9_:]*)([^>]*)>")
+
+
+def depths(page: bytes) -> tuple[int, int, int]:
+    """(tags, deepest, depth at the end) of a forgiving element stack: every other tag than a closing or self-closed one
+    pushes, comments and void elements too, as a context needs no parser."""
+    n = depth = deepest = 0
+    for m in TOKENS.finditer(page):
+        n += 1
+        if m[1]:
+            depth = max(depth - 1, 0)
+        elif not m[3].endswith(b"/"):
+            depth = min(depth + 1, ELEMENTS)
+            deepest = max(deepest, depth)
+    return n, deepest, depth
+
+
+@query()
+def tag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element nesting of each page."""
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [depths((h or "").encode("utf-8", "surrogatepass")) for h in frame["html"]]
+            yield pd.DataFrame({"page_id": frame["page_id"], "n_tags": [x[0] for x in found], "deepest": [x[1] for x in found], "final_depth": [x[2] for x in found]})
+
+    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n_tags long, deepest long, final_depth long")
