@@ -103,11 +103,11 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(parts: DataFrame) -> Column:
-    """The upper fence of every signal, as a struct, from sketch columns."""
+    """The upper fence of every signal, as a struct, from sketch columns; null without rows, as an empty sketch has no quantiles."""
     def fence(k: str) -> Column:
         low, high = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.75))
         return F.least(high + SPREAD * F.greatest(high - low, F.lit(LEAST[k])), F.lit(CEILING))
-    return F.struct(*[fence(k).alias(k) for k in SIGNALS])
+    return F.when(F.col("rows") > 0, F.struct(*[fence(k).alias(k) for k in SIGNALS]))
 
 
 def thresholds(rows: DataFrame, lang: str, source: str, values: dict[str, Column]) -> DataFrame:

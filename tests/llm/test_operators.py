@@ -1,0 +1,400 @@
+"""Each operator against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and extra columns."""
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from bytespan.llm import bpe, chat, fm, linededup, ngramjoin, packing, pages, rules, surrogates, vafile
+from bytespan.llm.common import components, saved
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _t string, Kept string"
+
+
+def some_docs(spark, texts):
+    """Documents with extra columns whose names operators use themselves."""
+    return spark.createDataFrame([(i, t, None if (i or 0) % 3 == 0 else "en", None if (i or 0) % 4 == 0 else "s", None, "x", "y") for i, t in texts], DOCS)
+
+
+EDGES = [(1, None), (2, ""), (3, "one two three"), (4, "one two three"), (5, "   \n\t \n"), (6, "word " * 20000), (None, "no id here at all today"), (7, "One  two\tthree"), (7, "One  two\tthree")]
+OPERATORS = {
+    "rules": lambda d: rules.keep_quality(d),
+    "lines": lambda d: linededup.dedup_lines(d),
+    "ngrams": lambda d: ngramjoin.groups(d),
+    "keep_one": lambda d: ngramjoin.keep_one(d),
+    "pii": lambda d: surrogates.replace_pii(d, b"k"),
+    "bpe": lambda d: bpe.digest_column(d, PATH),
+    "bpe_text": lambda d: bpe.encode_column(d, PATH),
+    "pack": lambda d: packing.pack(d, PATH, with_ids=True),
+    "fm": lambda d: fm.classified(d, d.select("doc_id", F.lit(1).alias("quality"))),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_edges_and_empty_tables(spark, name):
+    docs = some_docs(spark, EDGES)
+    rows = OPERATORS[name](docs).collect()
+    assert rows
+    assert OPERATORS[name](docs.filter("false")).collect() == []
+    if name in ("lines", "pii"):
+        assert len(rows) == len(EDGES) and rows[0].asDict().keys() == dict(docs.dtypes).keys()
+    if name in ("bpe", "fm", "ngrams"):
+        assert len(rows) == len(EDGES)
+
+
+# chat
+
+def turns_of(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example string")
+
+
+def test_chat_reads_back_exactly(spark):
+    rows = [(1, 0, "user", "a<|im_end|>b & &amp; &lt;|"), (1, 1, "assistant", "x\ny"), (1, 2, "user", None), (1, 3, "assistant", "<|im_start|>"), (2, 0, None, "q"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (None, 1, "us\ner", "&#10;"), (4, None, "user", "u")]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.expand_prefix_targets(turns_of(spark, [(*r, "e") for r in rows]))).collect()}
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((-1 if t is None else t, role or "", text or ""))
+    for c, turns in by.items():
+        turns.sort()
+        reply = "".join(x for _, r, x in turns if r == "assistant")
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        assert got[c]["loss_chars"] == len(reply) and got[c]["loss_sha256"] == hashlib.sha256(reply.encode()).hexdigest()
+        assert got[c]["n_examples"] == sum(r == "assistant" for _, r, _ in turns)
+    assert chat.expand_prefix_targets(turns_of(spark, [])).collect() == []
+
+
+def test_chat_examples_are_prefixes(spark):
+    ex = chat.expand_prefix_targets(spark.read.parquet(f"{SF}/conversations.parquet")).collect()
+    for r in ex:
+        if r["loss_start"] is not None:
+            tail = r["text"][r["loss_start"] + r["loss_chars"] :]
+            assert tail == "<|im_end|>\n" and r["text"][: r["loss_start"]].endswith("<|im_start|>assistant\n")
+    plan = chat.expand_prefix_targets(spark.read.parquet(f"{SF}/conversations.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# BPE
+
+HARD = ["", " ", "Hello, World!!! it's I'LL", "<|startoftext|>a<|endoftext|>b", "ΟΔΟΣ Σ", "é é ﬁ İ", "aaaaaaaaaaaaaaaa aaa", "x\x1cy\x85z\xa0q", "12 ½ Ⅷ", "日本語 한국어 \U0001F600", "\0\0<|endoftext|>", "don't-stop...now?", "naïve café, résumé."]
+
+
+def test_bpe_equals_the_library():
+    own, theirs = bpe.Vocabulary(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    fast = bpe.Vocabulary(open(PATH, encoding="utf-8").read(), only_ids=True)
+    for t in HARD + ["".join(h) for h in zip(HARD, reversed(HARD))]:
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids == fast.encode(t)
+        assert own.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+        assert [x for row in own.look_up([t]) for _, i, _ in row for x in map(int, i.split())] == ids
+
+
+def test_bpe_query_digests(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    theirs = Tokenizer.from_file(PATH)
+    for r in bpe.digest_column(docs, PATH).join(docs.select("doc_id", "text"), "doc_id").collect():
+        ids = theirs.encode(r["text"], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+# n-gram join
+
+def word_sets(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute_groups(rows, k, num):
+    sets = {d: word_sets(t, k) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    inverted = defaultdict(list)
+    for d in sorted(sets):
+        shared = Counter(y for s in sets[d] for y in inverted[s])
+        for y, i in shared.items():
+            if 100 * i >= num * (len(sets[d]) + len(sets[y]) - i):
+                a, b = sorted((find(d), find(y)))
+                parent[b] = a
+        for s in sets[d]:
+            inverted[s].append(d)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def near_copies(n, words, edits, seed):
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for p in rng.integers(0, words, edits):
+            w[p] = f"x{rng.integers(0, 10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_groups_equal_brute_force(spark, k, num):
+    texts = near_copies(60, 120, 2, 1) + near_copies(30, 120, 5, 2) + ["a b c", "A b  c", "a b", "", None, "p q r s"] * 2
+    docs = some_docs(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.groups(docs, k, num, 100).collect()}
+    assert got == brute_groups(list(enumerate(texts)), k, num)
+
+
+def test_groups_by_blocks(spark, monkeypatch):
+    """Small blocks, chunks and no broadcast: the ways for large groups give the same components."""
+    for name, value in (("BLOCK", 8), ("CHUNK", 4), ("SMALL", 2), ("BROADCAST_SETS", -1)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    monkeypatch.setattr(ngramjoin, "small", lambda df: df)
+    texts = near_copies(50, 80, 3, 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.groups(some_docs(spark, list(enumerate(texts))), 4, 85, 100).collect()}
+    assert got == brute_groups(list(enumerate(texts)), 4, 85)
+
+
+def test_divide_skip_equals_scan():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        base = rng.choice(400, rng.integers(1, 60), replace=False)
+        sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(0, len(base) + 1)], rng.integers(400, 420, rng.integers(0, 4))]).astype(np.uint64) for _ in range(12)]
+        sets, query = [s for s in sets if len(s)] or [np.array([9], np.uint64)], np.unique(base).astype(np.uint64)
+        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, query)) >= 80 * len(np.union1d(s, query))]
+        assert ngramjoin.Lists(sets).search(query, 80, 100).tolist() == want
+
+
+def test_components_of_a_long_chain(spark):
+    edges = saved(spark.range(60).selectExpr("id AS a", "id + 1 AS b"))
+    assert {r["component"] for r in components(edges).collect()} == {0}
+
+
+def test_keep_one_of_each_group(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {d for d, (_, c) in brute_groups([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80).items() if d == c}
+    assert {r["doc_id"] for r in ngramjoin.keep_one(docs.union(docs)).collect()} == want
+    assert ngramjoin.keep_one(docs.union(docs)).count() == len(want)
+
+
+# line dedup
+
+def brute_lines(rows):
+    sets, inverted, gone = [], defaultdict(list), set()
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        for i, line in enumerate((t or "").split("\n")):
+            w = [x for x in re.split(r"[ \t\x0b\f\r]+", line.lower()) if x]
+            if len(w) < 5:
+                continue
+            own = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+            shared = Counter(y for s in own for y in inverted[s])
+            if any(5 * c >= 4 * (len(own) + len(sets[y]) - c) for y, c in shared.items()):
+                gone.add((d, i))
+            for s in own:
+                inverted[s].append(len(sets))
+            sets.append(own)
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_lines_equal_brute_force(spark):
+    lines = near_copies(25, 60, 1, 7) + near_copies(25, 40, 3, 8) + ["short one", "", "a b c d e", "A b\tc  d e", "x y z u v w"]
+    rng = np.random.default_rng(9)
+    texts = ["\n".join(lines[j] for j in rng.integers(0, len(lines), 6)) for _ in range(40)] + [None, "", "\n\n"]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(some_docs(spark, list(enumerate(texts)))).collect()}
+    assert got == brute_lines(list(enumerate(texts)))
+
+
+def test_lines_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = linededup.dedup_lines(docs)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# rules
+
+def test_rules_measure_and_judge(spark):
+    texts = ["a b c a b c a", "a b\na b\n\nx", "## $$ a|b", "", None, "one two " * 40, "w1 w2 w3 w4 w5 " * 3, "é ü"]
+    df, m = rules.measured(some_docs(spark, list(enumerate(texts))))
+    for r in df.select("doc_id", f"{m}.*").collect():
+        t = texts[r["doc_id"]] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = Counter(wins)
+        covered = {i + d for i, x in enumerate(wins) if seen[x] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
+        assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), len(covered))
+
+
+def test_rules_keep_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    kept = {r["doc_id"] for r in rules.keep_quality(docs).collect()}
+    rows = docs.join(labels, "doc_id").filter(F.size(F.split("text", r"\s+")) > 60).collect()
+    good, bad = [r["doc_id"] in kept for r in rows if r["quality"] == 1], [r["doc_id"] in kept for r in rows if r["quality"] == 0]
+    assert sum(good) == len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+# PII
+
+def test_surrogates_are_consistent_and_distinct(spark):
+    texts = [
+        "Mail ann.lee@mail5.example.com or ANN.LEE@MAIL5.EXAMPLE.COM, call +1 (017) 555-7713.",
+        "Again: ann.lee@mail5.example.com; +1-017-555-7713; host 10.1.2.3; card 4111 1111 1111 1111",
+        "Mrs. Anna Keller met Mr Keller. Keller said: token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"",
+        "Apache License, Version 2.0. CC BY-NC 4.0 in 1999.", None, "", "Господин Иванов и Анна Смирнова.",
+    ]
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace_pii(some_docs(spark, list(enumerate(texts))), b"key").collect()}
+    assert out[3] == texts[3] and out[4] is None and out[5] == ""
+    mail = re.search(r"\S+@\S+?\.com", out[0]).group()
+    assert mail.upper() in out[0] and mail in out[1] and "ann.lee" not in (out[0] + out[1]).lower()
+    digits = lambda t: re.sub(r"\D", "", re.search(r"\+1\D.*?\d{3}-\d{4}", t).group())
+    assert digits(out[0]) == digits(out[1]) != "10175557713"
+    assert re.search(r"host 10\.", out[1]) and surrogates.luhn(re.sub(r"\D", "", out[1].split("card")[1]))
+    assert "Keller" not in out[2] and "04dbebab" not in out[2]
+    given = re.match(r"Mrs\. (\S+) (\S+) met Mr (\S+)\. (\S+) said", out[2])
+    assert given[1].split("-")[0] in surrogates.FEMALE["latin"] and given[2] == given[3] == given[4]
+    assert re.fullmatch(r"Господин [А-Яа-я]+ и [А-Яа-я-]+ [А-Яа-я]+\.", out[6]) and "Иванов" not in out[6]
+
+
+def test_colliding_surrogates_draw_again(spark, monkeypatch):
+    n = 3000  # more names than the list of given names has, all of one gender
+    rows = spark.range(n).selectExpr("'given_f' AS kind", "concat('Name', char(97 + id % 26), char(97 + (id div 26) % 26), char(97 + (id div 676) % 26)) AS form").union(spark.createDataFrame([("given_f", "Anna"), ("ip", "10.0.0.1"), ("ip", "10.0.0.2")], "kind string, form string"))
+    out = surrogates.assigned(saved(rows), b"k").collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["kind"]].append(r["surrogate"])
+    assert len(out) == n + 3 and all(len(set(v)) == len(v) for v in by.values()) and "Anna" not in by["given_f"]
+
+
+def test_no_entity_of_documents_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in surrogates.replace_pii(docs, b"k").collect()}
+    for d, t in before.items():
+        found = surrogates.mentions(t)
+        assert all(v not in after[d] for _, _, _, v in found) and (found or after[d] == t)
+
+
+# packing
+
+def test_packing_keeps_every_token(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    theirs = Tokenizer.from_file(PATH)
+    ids = {r["doc_id"]: theirs.encode(r["text"], add_special_tokens=False).ids + [1] for r in docs.collect()}
+    rows = packing.pack(docs, PATH, with_ids=True).collect()
+    by, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        raw = struct.pack(f"<{len(piece)}I", *piece)
+        assert r["ids_crc32"] == zlib.crc32(raw) and bytes(r["ids"]) == raw and r["doc_tokens"] == len(ids[r["doc_id"]])
+        by[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert by.keys() == ids.keys()
+    for d, pieces in by.items():
+        assert sum(n for _, n in pieces) == len(ids[d]) and all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:]))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(n for _, n in pieces) <= 2048
+    assert sum(sum(n for _, n in p) < 2048 for p in sequences.values()) <= 4
+
+
+def test_packing_retrieves_by_bm25():
+    rng = np.random.default_rng(3)
+    topics = [rng.integers(100 * t, 100 * t + 40, 60) for t in (1, 2)]
+    docs = [rng.permutation(topics[i % 2])[:50].astype(np.uint32) for i in range(20)]
+    index = packing.Index(docs, 1000)
+    unused = np.ones(20, bool)
+    unused[[0, 2]] = False
+    ranked = index.query(0, unused)
+    assert set(ranked.tolist()) == set(range(4, 20, 2)) and len(index.query(0, np.zeros(20, bool))) == 0
+
+
+# pages
+
+def test_main_text_of_hard_pages():
+    page = """<html><head><title>T</title></head><body class="no-sidebar"><header><a>Home</a></header><div class="cookie-notice">cookies</div><main><h1>Head &amp; line</h1>
+    <div class="share-buttons">Share</div><p>One<p>Two <i>in</i>side &nbsp; x</p><ul><li>a<li>b</ul><form>Email <input></form><table><tr><td>1<td>2</table><div id="comments"><p>nice</p></div></main>
+    <aside>side</aside><footer>f</footer><script>var a="</p>";</script></body></html>"""
+    assert pages.main_text(page) == "Head & line One Two inside x a b 1 2"
+    assert pages.main_text("<div><div>hello <b>wo</b>rld<br>x</div><p>p1 &lt;tag&gt; &#233;</div>") == "hello world x p1 <tag> é"
+    assert pages.main_text(None) == pages.main_text("") == "" and pages.main_text("a < b and c > d <") == "a < b and c > d <"
+    assert pages.main_text("<div>" * 3000 + "deep <a href='x>y'>q</a>") == "deep q"
+
+
+@pytest.mark.parametrize("limit", [10**6, -1])
+def test_site_templates_go(spark, monkeypatch, limit):
+    monkeypatch.setattr(pages, "BROADCAST_TEMPLATES", limit)
+    box = "<div><p>Try our site today</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{box}<div><p>Own text number {i}</p></div></body>") for i in range(12)] + [(50, "http://other.example/", f"<body>{box}</body>"), (51, None, None)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text number {i}" for i in range(12)} | {50: "Try our site today", 51: ""}
+
+
+def test_articles_of_pages_are_whole(spark):
+    import html
+
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in pages.extract(table).join(table.select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S).group(1)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if re.match(r"</?(p|h1|br)\b", m.group()) else "", inner)).split())
+        assert r["text"] == want
+
+
+# classifier
+
+def test_machine_scores_pairs_in_linear_time():
+    rng = np.random.default_rng(2)
+    m = fm.Machine(0.3)
+    m.w, m.v = rng.normal(size=fm.SIZE), rng.normal(size=(fm.SIZE, fm.RANK))
+    f, v = rng.choice(fm.SIZE, 12, replace=False), rng.normal(size=12)
+    pairs = sum(m.v[f[i]] @ m.v[f[j]] * v[i] * v[j] for i in range(12) for j in range(i))
+    raw, _ = m.raw(fm.Sparse(f, v, np.array([0, 12])))
+    assert math.isclose(raw[0], 0.3 + m.w[f] @ v + pairs, rel_tol=1e-9)
+
+
+def test_machine_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = fm.classified(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    right = sum(r["predicted"] == r["quality"] for r in rows) / len(rows)
+    assert right >= 0.95 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+# vectors
+
+def test_top_k_equals_scan(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(300)]
+    rows += [(300, None), (301, [1.0] * 7 + [None]), (302, [float("nan")] + [0.0] * 7), (303, [float("inf")] * 8), (None, [1.0] * 8), (304, rows[0][1]), (350, [0.5] * 3), (351, [0.25] * 3), (400, [])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vafile.top_k(spark.createDataFrame([(i, v, "r") for i, v in rows], "vec_id long, embedding array<float>, rank string"), F.col("vec_id") % 50 == 0).collect())
+    good = [(i, np.floor(256 * np.array(v, "f4").astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want = []
+    for q, x in good:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for i, y in good if i != q and len(y) == len(x))[:5]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_bounds_hold_and_huge_scores_are_exact():
+    rng = np.random.default_rng(8)
+    data = np.floor(rng.normal(size=(200, 6)) * 1000)
+    file = vafile.ApproximationFile(np.arange(200), data)
+    for q in np.floor(rng.normal(size=(20, 6)) * 1000):
+        low, high = file.bounds(q)
+        assert (low <= data @ q).all() and (data @ q <= high).all()
+    big = vafile.ApproximationFile(np.arange(2), np.array([[2.0**40, 3.0], [1.0, 1.0]]))
+    assert big.exact(np.array([0]), np.array([2.0**20, 1.0])) == [2**60 + 3]
