@@ -26,7 +26,7 @@ def some_docs(spark, texts):
     return spark.createDataFrame([(i, t, None if (i or 0) % 3 == 0 else "en", None if (i or 0) % 4 == 0 else "s", None, "x", "y") for i, t in texts], DOCS)
 
 
-EDGES = [(1, None), (2, ""), (3, "one two three"), (4, "one two three"), (5, "   \n\t \n"), (6, "word " * 20000), (None, "no id here at all today"), (7, "One  two\tthree"), (7, "One  two\tthree")]
+EDGES = [(1, None), (2, ""), (3, "one two three"), (4, "one two three"), (5, "   \n\t \n"), (6, "word " * 20000), (None, "no id here at all today"), (7, "One  two\tthree"), (7, "One  two\tthree"), (8, " ".join(f"u{i}" for i in range(60)))]
 OPERATORS = {
     "rules": lambda d: rules.keep_quality(d),
     "lines": lambda d: linededup.dedup_lines(d),
