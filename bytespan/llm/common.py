@@ -44,6 +44,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A saved table of short rows, marked for broadcast if it was counted to have at most so many; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def tasks(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for stages whose work isn't in proportion to their bytes: a number
+    that is given is not coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df, in any case, doesn't have."""
     taken = {c.lower() for c in df.columns}
