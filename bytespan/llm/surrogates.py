@@ -34,7 +34,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytespan.llm.common import fresh, salt_of, salted, saved, ship
@@ -55,6 +55,8 @@ MALE = {
     "greek": "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Πέτρος".split(),
 }
 TITLES = {"f": "Mrs Ms Miss Mme Madame Mlle Frau Sra Señora Srta Doña Lady Г-жа Госпожа Κυρία".split(), "m": "Mr Mister Monsieur Herr Sr Señor Don Sir Г-н Господин Κύριος".split(), "n": "Dr Prof Mx Доктор".split()}
+#: Titles that may be written with a dot.
+DOTTED = frozenset("Mr Ms Mx Mrs Mme Mlle Dr Prof Sr Sra Srta".split())
 SYLLABLES = {
     "latin": "ba ber cor dan del dor fal fen gar gil hal har kel kin lan lor mar mel nor pal per ran ros sal sel tan tor val ven wes".split(),
     "cyrillic": "ба вер гор дан дол ел жар зор кал лен мар нов пет род сав тар фед хар цев шил".split(),
@@ -66,9 +68,9 @@ PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
     "credential": r"(?<=://)[^\s/@:]+:[^\s/@]+(?=@)",
     "secret": r"""(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?[\w+/.\-]{8,}""",
-    "token": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+|[0-9a-f]{32,}|[0-9A-F]{32,})\b",
+    "token": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+|(?=[a-f]*[0-9])[0-9a-f]{32,}|(?=[A-F]*[0-9])[0-9A-F]{32,})\b",
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
-    "mac": r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b",
+    "mac": r"\b(?:(?:[0-9A-Fa-f]{2}:){5}|(?=[A-Fa-f-]*[0-9])(?:[0-9A-Fa-f]{2}-){5})[0-9A-Fa-f]{2}\b",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -81,11 +83,23 @@ _given = "|".join(sorted({n for ns in (FEMALE, MALE) for names in ns.values() fo
 TITLED = re.compile(rf"(?<!\w)({_titles})\.? (?=[^\W\d_])((?:{WORD})(?: (?:{WORD}))?)")
 GIVEN = re.compile(rf"(?<!\w)({_given}) ({WORD})(?!\w)")
 #: A pattern is only tried on texts where this, quickly looked for, occurs.
-NEEDS = {"email": re.compile("@"), "credential": re.compile("://"), "secret": re.compile("[=:]"), "token": re.compile(r"AKIA|gh[pousr]_|sk-|xox|eyJ|[0-9a-fA-F]{32}"), "ipv6": re.compile(":[0-9A-Fa-f]{1,4}:"), "mac": re.compile("[0-9A-Fa-f]{2}[:-]")}
+NEEDS = {"email": re.compile("@"), "credential": re.compile("://"), "secret": re.compile("[=:]"), "token": re.compile(r"AKIA|gh[pousr]_|sk-|xox|eyJ|[0-9]"), "ipv6": re.compile(":[0-9A-Fa-f]{1,4}:"), "mac": re.compile("[0-9A-Fa-f]{2}[:-]")}
 DIGIT = re.compile(r"\d")
 FOUND = {k: re.compile(p) for k, p in PATTERNS.items()}
-#: A text in which Java finds none of these has no entity; kept free of long alternatives, which it tries at every place.
-HINT = r"""@|\d\D?\d|://|[=:]\s*["']?[\w+/.-]{8}|AKIA|gh[pousr]_|sk-|xox|eyJ|[0-9a-fA-F]{32}|[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]|(?:M[rsx]|Mrs|Mme|Mlle|Dr|Prof|Sr|Sra|Srta)\. |\p{Lu}[\p{L}’'-]{1,12} \p{Lu}"""
+#: A text with none of these has no entity. They are kept cheap, since every text is searched for them: one class of
+#: rare characters, a few plain strings, and two capitalised words or a title in a row.
+RARE, PLAIN = r"[@0-9:=]", ("AKIA", "sk-", "xox", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+CAPITALS = r"(?:\p{Lu}[\p{L}’'-]{1,12}|(?:M[rsx]|Mrs|Mme|Mlle|Dr|Prof|Sr|Sra|Srta)\.) \p{Lu}"
+
+
+def hint(text: Column) -> Column:
+    """Whether a text may have an entity; false for null."""
+    found = text.rlike(RARE)
+    for p in PLAIN:
+        found = found | text.contains(p)
+    return F.coalesce(found | text.rlike(CAPITALS), F.lit(False))
+
+
 GENDER = {n: g for g, ns in (("f", FEMALE), ("m", MALE)) for names in ns.values() for n in names}
 
 
@@ -147,6 +161,8 @@ def people(text: str) -> list[tuple[int, int, str, str]]:
     parts: dict[str, str] = {}
     out = []
     for m in TITLED.finditer(text):
+        if text[m.end(1)] == "." and m[1] not in DOTTED:
+            continue
         gender = next(g for g, ts in TITLES.items() if m[1] in ts)
         names = [(w.start() + m.start(2), w.end() + m.start(2), w.group()) for w in re.finditer(WORD, m[2])]
         names = [n for i, n in enumerate(names) if n[2][0].isupper() and (i == 0 or names[0][2][0].isupper())]
@@ -299,8 +315,8 @@ def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     ship(docs.sparkSession)
     mark, found, salt = fresh(docs, "_mark", "_found", "_salt")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    hit = F.coalesce(F.col(f"`{text}`").rlike(HINT), F.lit(False))
-    some = docs.filter(hit).withColumn(mark, F.xxhash64(F.col(f"`{text}`")))
+    hit = hint(F.col(f"`{text}`"))
+    some = saved(docs.filter(hit).withColumn(mark, F.xxhash64(F.col(f"`{text}`"))))
     own = saved(occurrences(some.select(F.col(mark).alias("mark"), F.col(f"`{text}`").alias("text"))))
     table = saved(assigned(saved(own.select("kind", "form").distinct()), key))
     own = own.withColumn(salt, salt_of(SALTS, "mark")).join(salted(table, SALTS, salt), ["kind", "form", salt])
