@@ -36,7 +36,7 @@ REMEMBERED = 200_000
 #: Marks that never belong to a word beside letters.
 PLAIN_ENDS = frozenset(",.!?;:")
 #: Control characters that Python's split takes for white space but regular expressions don't.
-ODD_SPACES = regex.compile("[\x1c-\x1f]")
+ODD_SPACES = "\x1c\x1d\x1e\x1f"
 SPACE = regex.compile(r"\p{White_Space}+")
 
 
@@ -153,7 +153,7 @@ class Vocabulary:
             for token, part in zip(found, rest[1:], strict=True):
                 out += ["\0\0" + token, *self.pieces(part)]
             return out
-        if ODD_SPACES.search(text):
+        if any(c in text for c in ODD_SPACES):
             return [p for p in SPACE.split(text) if p]
         return text.split()
 
@@ -196,6 +196,18 @@ class Vocabulary:
         Memory has two generations of at most self.most pieces, besides those of
         the texts at hand: what an older one knows moves on when it is met again.
         """
+        cut = self.known(texts)
+        get = self.memory.__getitem__
+        return [list(map(get, pieces)) for pieces in cut]
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """With only_ids: the ids of each text as bytes."""
+        cut = self.known(texts)
+        get = self.memory.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
+
+    def known(self, texts: list[str | None]) -> list[list[str]]:
+        """The pieces of each text, all of them in memory now."""
         cut = [self.pieces(t) if t else [] for t in texts]
         new = set().union(*cut)
         if len(self.memory) > self.most:
@@ -206,8 +218,7 @@ class Vocabulary:
         new -= known
         if new:
             self.learn(new)
-        get = self.memory.__getitem__
-        return [list(map(get, pieces)) for pieces in cut]
+        return cut
 
     def encode(self, text: str | None) -> list[int]:
         found = self.look_up([text])[0]

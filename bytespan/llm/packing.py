@@ -139,7 +139,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         end = np.array([closing], "<u4").tobytes()
         for keys, texts in shards(frames):
-            raw = [b"".join(row) + end for row in vocab.look_up(texts)]
+            raw = [r + end for r in vocab.ids_of(texts)]
             ids = [np.frombuffer(r, "<u4") for r in raw]
             rows = list(packer.pack(ids, vocab.size))
             place, start, length, sequence, offset = map(np.array, zip(*rows, strict=True))
