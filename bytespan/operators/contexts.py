@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bytespan.functions.bytes import lgamma2
 from bytespan.functions.workers import ship
-from bytespan.operators.codelength import LENGTH_SQL, POSITIONS_SQL, code_length, context_pairs
+from bytespan.operators.codelength import LENGTH_SQL, POSITIONS_SQL, context_pairs
 from bytespan.registry import query
 from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, document_blobs, table
 
@@ -41,15 +41,16 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def view_lengths(blobs: DataFrame, order: int, views: dict) -> DataFrame:
-    """Bits of all blobs under an adaptive model of each view, a column expression of (key, size)."""
-    pairs = context_pairs(blobs, order).withColumn("byte", F.substring("key", order + 1, 1))
-    frames = []
-    for name, context in views.items():
-        own = pairs.select("doc_id", F.concat(context, F.col("byte")).alias("key"))
-        size = F.octet_length("key") - 1
-        bits = code_length(own, F.substring(F.col("key"), F.lit(1), size))
-        frames.append(bits.agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_contexts").alias("n_contexts"), F.round(F.sum("bits"), 2).alias("bits")).select(F.lit(name).alias("view"), "n_bytes", "n_contexts", "bits"))
-    return union(frames)
+    """Bits of all blobs under an adaptive model of each view, a column expression of key. All views are formed in one
+    pass over the bytes; blobs are dealt out by id before, so only the views' totals are shuffled."""
+    pairs = context_pairs(blobs, order)
+    byte = F.substring("key", order + 1, 1)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("view"), F.concat(context, byte).alias("key")) for name, context in views.items()]))
+    counts = pairs.select("doc_id", each.alias("v")).select("doc_id", "v.view", "v.key").groupBy("doc_id", "view", "key").agg(F.count("*").alias("n"))
+    context = F.substring(F.col("key"), F.lit(1), F.octet_length("key") - 1)
+    by_context = counts.groupBy("doc_id", "view", context.alias("context")).agg(F.sum("n").alias("total"), F.sum(lgamma2(F.col("n").cast("double") + 1)).alias("inner"))
+    cost = lgamma2(F.col("total").cast("double") + 256) - lgamma2(F.lit(256.0)) - F.col("inner")
+    return by_context.groupBy("view").agg(F.sum("total").alias("n_bytes"), F.count("*").alias("n_contexts"), F.round(F.sum(cost), 2).alias("bits"))
 
 
 def views_sql(views: dict[str, str]) -> str:
