@@ -130,7 +130,7 @@ def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that are similar to an earlier line."""
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), k=1)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bytespan.llm import bpe, chat, fm, linededup, ngramjoin, packing, pages, rules, surrogates, vafile
+from bytespan.llm import bpe, chat, fm, linededup, ngramjoin, packing, pages, queries, rules, surrogates, vafile
 from bytespan.llm.common import components, saved
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +223,39 @@ def test_lines_of_documents(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_word_lines(rows, least):
+    """The rule of the query: multisets of words, lines of fewer than so many words stay."""
+    sets, inverted, gone = [], defaultdict(list), set()
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        for i, line in enumerate((t or "").split("\n")):
+            w = [x for x in re.split(r"[ \t\x0b\f\r]+", line.lower()) if x]
+            if len(w) < least:
+                continue
+            own = frozenset((x, j) for x, n in Counter(w).items() for j in range(n))
+            shared = Counter(y for s in own for y in inverted[s])
+            if any(5 * c >= 4 * (len(own) + len(sets[y]) - c) for y, c in shared.items()):
+                gone.add((d, i))
+            for s in own:
+                inverted[s].append(len(sets))
+            sets.append(own)
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_lines_with_a_changed_word_go(spark):
+    """One word of ten in the middle: 1/11 of the shingles, 9/11 of the words. Repeated words count as often as they occur."""
+    texts = ["a b c d e f g h i j", "a b c d X f g h i j", "go go go go stop now then", "go stop now then", "go go go go stop now THEN", "q r s t u q r s t u", "q r s t u"]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(some_docs(spark, list(enumerate(texts))), k=1).collect()}
+    assert got == {0: texts[0], 1: "", 2: texts[2], 3: texts[3], 4: "", 5: texts[5], 6: texts[6]}
+
+
+def test_the_query_compares_lines_by_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = queries.op4_line_dedup(spark, SF)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_word_lines([(r["doc_id"], r["text"]) for r in docs.collect()], 5)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # rules
 
 def test_rules_measure_and_judge(spark):
