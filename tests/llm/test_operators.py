@@ -248,10 +248,16 @@ def test_lines_with_a_changed_word_go(spark):
     assert got == {0: texts[0], 1: "", 2: texts[2], 3: texts[3], 4: "", 5: texts[5], 6: texts[6]}
 
 
+def test_short_lines_take_part(spark):
+    texts = ["Erheed. Titionly.\n\none", "x\nerheed.  titionly.", "ONE\n \none two", "one two three four\n\n", "one two three five"]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(some_docs(spark, list(enumerate(texts))), k=1).collect()}
+    assert got == {0: texts[0], 1: "x", 2: " \none two", 3: texts[3], 4: texts[4]}
+
+
 def test_the_query_compares_lines_by_words(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = queries.op4_line_dedup(spark, SF)
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_word_lines([(r["doc_id"], r["text"]) for r in docs.collect()], 5)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_word_lines([(r["doc_id"], r["text"]) for r in docs.collect()], 1)
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
