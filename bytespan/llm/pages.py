@@ -1,19 +1,24 @@
 """Main text of web pages, with site template removal by element subtree hashes.
 
-Pages are parsed twice. The first pass hashes every block element's subtree
-(tag, class, id and the hashes of what it holds, white space folded) outside of
-the page's article and counts, in Spark, on how many pages of its host each
-hash occurs; counting is a partial aggregate, so a host with a third of all
-pages is never gathered. Subtrees found on LEAST_PAGES pages or more, and on
-LEAST_SHARE of the host's pages, are its template. The second pass deletes
-them, and whatever markup or attributes declare to be a menu, header, footer,
-sidebar, notice, advert, form, script, style or reader comment, then reads the
-blocks of what is left: of the article or main element if there is one, else of
-the body.
-
-Inside an article recurrence deletes nothing: copies of an article recur too,
-and the whole of it is wanted. Where deletion by recurrence would leave no
-text, it is not applied to the page.
+Pages are parsed twice. The first pass hashes block elements' subtrees (tag,
+class, id and the hashes of what they hold, white space folded) and counts, in
+Spark, on how many pages of its host each hash occurs; counting is a partial
+aggregate, so a host with a third of all pages is never gathered. Subtrees found
+on LEAST_PAGES pages or more, and on LEAST_SHARE of the host's pages, are its
+template. The second pass deletes them, and whatever markup or attributes
+declare to be a menu, header, footer, sidebar, notice, advert, form, script,
+style or reader comment.
+
+Inside an article or main element only boxes (BOX) are counted, and by the
+contents they stand in: copies of an article recur too, and the whole of it is
+wanted. A content is the least hash of the three-word runs of the article's rest,
+which near copies mostly share; a box takes LEAST_PAGES contents, and one for
+every PAGES_A_CONTENT of its pages. Paragraphs, headings, items and quotes of an
+article are its text even where a sentence recurs.
+
+Of what is left, article and main elements are read if they hold at least half of
+the text, else the whole body. Where deletion by recurrence would leave no text,
+it is not applied to the page.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined by one space. Nothing is capped.
@@ -29,7 +34,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 
 from bytespan.llm.common import saved, ship
 
-LEAST_PAGES, LEAST_SHARE = 3, 0.02
+LEAST_PAGES, LEAST_SHARE, PAGES_A_CONTENT = 3, 0.02, 5
 #: Up to so many template subtrees are broadcast (8 bytes and the host each); beyond, they are joined to the pages.
 BROADCAST_TEMPLATES = 200_000
 
@@ -48,6 +55,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+BOX = frozenset("address center details dir div dl fieldset figure menu nav ol section table ul aside footer header form".split())
 DROPPED = frozenset(
     "head script style noscript template iframe object embed applet svg canvas audio video map nav footer aside form button select textarea input label "
     "fieldset dialog menu datalist output progress meter title".split()
@@ -214,45 +222,92 @@ def deep_safe(page: str | None) -> Node:
     return root
 
 
-def subtree_hashes(page: str | None) -> list[int]:
-    """Distinct hashes of a page's block elements outside of its article."""
+def boxes(article: Node) -> Iterator[tuple[Node, int]]:
+    """Boxes inside an article, each with its content: the least hash of the three-word runs of the article's rest."""
+    words: list[str] = []
+    spans: list[tuple[Node, int, int]] = []
+
+    def walk(node: Node) -> None:
+        begin = len(words)
+        for c in node.holds:
+            if type(c) is Node:
+                walk(c)
+            else:
+                words.extend(c.split())
+        if node.tag in BOX and node is not article:
+            spans.append((node, begin, len(words)))
+
+    walk(article)
+    if not spans:
+        return
+    runs = [zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(len(words) - 2)]
+    none = 1 << 32
+    before, after = list(accumulate(runs, min, initial=none)), list(accumulate(reversed(runs), min, initial=none))[::-1]
+    for node, begin, end in spans:
+        # before[k] is of the first k runs, after[k] of those from k on
+        yield node, min(before[max(begin - 2, 0)], after[min(end, len(runs))])
+
+
+def in_article(h: int) -> int:
+    """The key of a subtree inside an article: what recurs outside of articles says nothing about it, and the reverse."""
+    return h ^ 0x5555555555555555
+
+
+def counted_subtrees(page: str | None) -> list[tuple[int, int]]:
+    """Distinct (hash, content) of a page's block elements; outside of its articles the content is 0."""
     root = deep_safe(page)
     block_hash(root)
-    return sorted({n.hash for n in outside(root)})
+    found = {n.hash: 0 for n in outside(root)}
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.tag in ("article", "main"):
+            found |= {in_article(b.hash): content for b, content in boxes(n)}
+        else:
+            todo += [c for c in n.holds if type(c) is Node]
+    return sorted(found.items())
+
+
+def subtree_hashes(page: str | None) -> list[int]:
+    """Distinct keys of a page's block elements."""
+    return [h for h, _ in counted_subtrees(page)]
 
 
 def read_blocks(root: Node, template: frozenset[int] | set[int]) -> list[str]:
-    """The texts of the blocks that stay, in page order."""
-    blocks: list[str] = []
+    """The texts of the blocks that stay, in page order: of articles if they hold half of the text, else of the body."""
+    blocks: list[tuple[str, bool]] = []
     run: list[str] = []
-    only_article = has_article(root)
+    some_article = has_article(root)
 
-    def end() -> None:
+    def end(inside: bool) -> None:
         if run and (folded := " ".join("".join(run).split())):
-            blocks.append(folded)
+            blocks.append((folded, inside))
         run.clear()
 
     def walk(node: Node, inside: bool) -> None:
-        holds_article = not inside and only_article and has_article(node)
+        holds_article = not inside and some_article and has_article(node)
         if not holds_article or node.tag in DROPPED:
-            if declared(node, inside) or (not inside and node.tag in BLOCK and node.hash in template):
-                end()
+            known = in_article(node.hash) in template and node.tag in BOX if inside else node.hash in template and node.tag in BLOCK
+            if known or declared(node, inside):
+                end(inside)
                 return
-        inside = inside or node.tag in ("article", "main")
         parts = node.tag in BLOCK or node.tag == "br"
         if parts:
-            end()
+            end(inside)
+        inside = inside or node.tag in ("article", "main")
         for c in node.holds:
             if type(c) is Node:
                 walk(c, inside)
-            elif inside or not only_article:
+            else:
                 run.append(c)
         if parts:
-            end()
+            end(inside)
 
     walk(root, False)
-    end()
-    return blocks
+    end(False)
+    within = sum(len(text) for text, inside in blocks if inside)
+    only_article = within > 0 and 2 * within >= sum(len(text) for text, _ in blocks)
+    return [text for text, inside in blocks if inside or not only_article]
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -274,15 +329,18 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     """(host, hash) of the subtrees that recur across many pages of their host."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hosts, hashes = [], []
+            hosts, hashes, contents = [], [], []
             for host, page in zip(frame["host"].tolist(), frame["html"].tolist(), strict=True):
-                own = subtree_hashes(page)
+                own = counted_subtrees(page)
                 hosts += [host] * len(own)
-                hashes += own
-            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "hash": pd.Series(hashes, dtype="int64")})
+                hashes += [h for h, _ in own]
+                contents += [c for _, c in own]
+            yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "hash": pd.Series(hashes, dtype="int64"), "content": pd.Series(contents, dtype="int64")})
 
     rows = pages.select(host_of().alias("host"), "html")
-    counted = rows.mapInPandas(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    seen = rows.mapInPandas(run, "host string, hash long, content long").groupBy("host", "hash", "content").agg(F.count("*").alias("pages"))
+    counted = seen.groupBy("host", "hash").agg(F.sum("pages").alias("pages"), F.count("*").alias("contents"), F.max("content").alias("content"))
+    counted = counted.filter((F.col("content") == 0) | ((F.col("contents") >= least_pages) & (PAGES_A_CONTENT * F.col("contents") >= F.col("pages"))))
     hosts = rows.groupBy("host").agg(F.count("*").alias("all"))
     return counted.filter(F.col("pages") >= least_pages).join(hosts, "host").filter(F.col("pages") >= least_share * F.col("all")).select("host", "hash")
 

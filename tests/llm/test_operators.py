@@ -393,6 +393,26 @@ def test_articles_of_pages_are_whole(spark):
         assert r["text"] == want
 
 
+@pytest.mark.parametrize("limit", [10**6, -1])
+def test_boxes_in_articles_go_and_copies_stay(spark, monkeypatch, limit):
+    """A box in many articles is template; a part that near copies of an article share isn't, nor a recurring paragraph."""
+    monkeypatch.setattr(pages, "BROADCAST_TEMPLATES", limit)
+    box, text = "<div><p>Try our site today</p></div>", lambda i: f"Number {i} tells of {i * 7} other things and {i * i} more"
+    rows = [(i, f"http://h.example/{i}", f"<body><article><p>{text(i)}</p>{box}<p>The end.</p></article></body>") for i in range(12)]
+    part = "<div><p>" + " ".join(f"w{i}" for i in range(200)) + "</p></div>"
+    rest = "<p>" + " ".join(f"v{i}" for i in range(300)) + "</p>"
+    rows += [(100 + i, f"http://copies.example/{i}", f"<body><article>{part}{rest}<p>copy {i}</p></article></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{text(i)} The end." for i in range(12))
+    assert all(got[100 + i].startswith("w0 w1 ") and got[100 + i].endswith(f"v299 copy {i}") for i in range(20))
+
+
+def test_a_teaser_article_is_not_the_page():
+    own = "A long text in a plain element that is by far the most of what this page holds."
+    assert pages.main_text(f"<body><div><p>{own}</p></div><div><article><p>Read this</p></article></div></body>") == f"{own} Read this"
+    assert pages.main_text(f"<body><div>by line</div><article><p>{own}</p></article></body>") == own
+
+
 # classifier
 
 def test_machine_scores_pairs_in_linear_time():
