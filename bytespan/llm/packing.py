@@ -1,13 +1,16 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
-Documents are dealt into partitions by a hash of their id and text, so no key,
-source or group of copies can make one partition large, and sorted inside by
-(lang, doc_id, text hash), which makes a partition's order, and with it the
-result of a retried task, the same each time. A task streams its partition in
-shards of at most SHARD_DOCS documents or SHARD_CHARS characters; each shard
-gets an inverted index of its own over token ids with BM25 weights. A seed (the
-document that a window begins with) queries the index with its QUERY_TERMS
-heaviest terms; its unused neighbours, best first, are taken greedily until the
+Texts are tokenised once and kept as ids. Document frequencies, their number and
+mean length are the whole corpus's (a table of the vocabulary's size). Documents
+are then ordered by the least hashes of their HEAVY heaviest shared terms, so
+that those with the same rare terms come together from the whole corpus, and cut
+into partitions by ranges of that order; ids and text hashes end it, so no term
+or group of copies can make one partition large, and a retried task gives the
+same result. A task streams its partition in shards of at most SHARD_DOCS
+documents or SHARD_CHARS characters; each shard gets an inverted index over token
+ids with BM25 weights. A seed (the document that a window begins with) queries
+the index with all of its terms; its unused neighbours, best first, are taken
+greedily until the
 window is full. The one that no longer fits is cut there, and its rest begins
 the next window as the next seed; so every window but the last of a partition
 is full. Where no unused document shares a term, the next unused one follows.
@@ -15,8 +18,8 @@ is full. Where no unused document shares a term, the next unused one follows.
 Every id of every document, the closing id included, lies in exactly one piece.
 Defined cases: a null or empty text is one closing id; a document longer than a
 window is cut into several; equal scores go by order in the shard; repeated
-rows are packed as often as they occur; null langs sort first; extra columns
-are ignored; an empty table gives no pieces.
+rows are packed as often as they occur; languages are told apart by their terms
+alone; extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -31,44 +34,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytespan.llm.bpe import broadcast_file, vocabulary
+from bytespan.llm.common import saved
+from bytespan.llm.words import mixed
 
-SHARD_DOCS, SHARD_CHARS, QUERY_TERMS = 512, 2_000_000, 24
+SHARD_DOCS, SHARD_CHARS, HEAVY, KEYS = 512, 2_000_000, 8, 4
+#: Rows that a task tokenises and hands over at once.
+ROWS = 1000
 K1, B = 1.2, 0.75
 
 
+def kind_of(size: int) -> str:
+    """The least kind of little-endian number that holds the ids of a vocabulary of so many."""
+    return "<u2" if size <= 65536 else "<u4"
+
+
+def terms_of(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a document and how often it has each."""
+    ordered = np.sort(ids.astype(kind_of(size)), kind="stable")
+    at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    return ordered[at], np.diff(np.r_[at, len(ordered)])
+
+
+class Corpus:
+    """What BM25 needs to know of the whole corpus: document frequencies, number of documents, mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float):
+        self.df, self.n, self.mean = df, n, max(mean, 1.0)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def keys(self, ids: np.ndarray) -> list[int]:
+        """The least of each of KEYS hashes over the heaviest terms that another document has too."""
+        term, tf = terms_of(ids, len(self.df))
+        shared = self.df[term] > 1
+        term, tf = term[shared], tf[shared]
+        if not len(term):
+            return [-1] * KEYS
+        heavy = term[np.argsort(-self.weights(term, tf.astype(float), len(ids)), kind="stable")[:HEAVY]].astype(np.uint64)
+        return [int((mixed(heavy + np.uint64(k << 32)) >> np.uint64(1)).min()) for k in range(KEYS)]
+
+
 class Index:
-    """BM25 over the documents of one shard: postings sorted by term."""
+    """BM25 over the documents of one shard: postings sorted by term. Weights are by the corpus; without one, the shard is it."""
 
-    def __init__(self, docs: list[np.ndarray], size: int):
+    def __init__(self, docs: list[np.ndarray], size: int, corpus: Corpus | None = None):
         terms, counts, sizes = [], [], []
         for ids in docs:
-            ordered = np.sort(ids.astype(np.uint16 if size <= 65536 else np.uint32), kind="stable")
-            at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
-            terms.append(ordered[at])
-            counts.append(np.diff(np.r_[at, len(ordered)]))
-            sizes.append(len(at))
+            own, tf = terms_of(ids, size)
+            terms.append(own)
+            counts.append(tf)
+            sizes.append(len(own))
         self.n = len(docs)
         length = np.array([len(d) for d in docs], float)
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(float)
         doc = np.repeat(np.arange(self.n), sizes)
         df = np.bincount(term, minlength=size)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1.0))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        weight = (corpus or Corpus(df, self.n, length.mean())).weights(term, tf, length[doc])
         self.begin_doc = np.r_[0, np.cumsum(sizes)]
-        self.doc_terms, self.doc_weights, self.df = term, weight, df
+        self.doc_terms, self.df = term, df
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.begin_term = np.r_[0, np.cumsum(df)]
 
     def query(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, best first."""
+        """Unused documents that share a term with the seed, best first."""
         a, b = self.begin_doc[seed], self.begin_doc[seed + 1]
-        terms, weights = self.doc_terms[a:b], self.doc_weights[a:b]
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-weights, kind="stable")[:QUERY_TERMS]]
+        terms = self.doc_terms[a:b]
+        terms = terms[self.df[terms] > 1]
         if not len(terms):
             return terms.astype(np.int64)
         spans = [slice(self.begin_term[t], self.begin_term[t + 1]) for t in terms]
@@ -94,9 +128,9 @@ class Packer:
             if self.fill == self.window:
                 self.sequence, self.fill = self.sequence + 1, 0
 
-    def pack(self, docs: list[np.ndarray], size: int) -> Iterator[tuple[int, int, int, int, int]]:
+    def pack(self, docs: list[np.ndarray], size: int, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
         """All pieces of a shard. The document that a window begins with is the seed of that window's neighbours."""
-        index, unused, scan = Index(docs, size), np.ones(len(docs), bool), 0
+        index, unused, scan = Index(docs, size, corpus), np.ones(len(docs), bool), 0
         ranked: Iterator[int] = iter(())
         asked = -1
         while True:
@@ -115,35 +149,74 @@ class Packer:
                 asked, ranked = self.sequence, iter(index.query(place, unused))
 
 
+def tokenised(docs: DataFrame, path: str, closing: int, size: int) -> DataFrame:
+    """(doc_id, mark, chars, n, ids) of every row: ids as bytes of their kind, with the closing one; saved."""
+    shared = broadcast_file(docs.sparkSession, path)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab = vocabulary(shared.value, only_ids=True)
+        end = np.array([closing], "<u4").tobytes()
+        for whole in frames:
+            for at in range(0, len(whole), ROWS):
+                frame = whole.iloc[at : at + ROWS]
+                ids = [np.frombuffer(r + end, "<u4").astype(kind_of(size)) for r in vocab.ids_of(frame["text"].tolist())]
+                yield frame[["doc_id", "mark", "chars"]].assign(n=list(map(len, ids)), ids=[i.tobytes() for i in ids])
+
+    view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    view = view.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.length("text").alias("chars"), "text")
+    return saved(view.mapInPandas(run, "doc_id long, mark long, chars int, n long, ids binary"))
+
+
+def corpus_of(rows: DataFrame, size: int) -> Corpus:
+    """The statistics of all tokenised rows; size numbers come to the driver."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(size, np.int64)
+        for frame in frames:
+            for raw in frame["ids"]:
+                df[terms_of(np.frombuffer(raw, kind_of(size)), size)[0]] += 1
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"term": at, "df": df[at]})
+
+    df = np.zeros(size, np.int64)
+    for r in rows.select("ids").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        df[r["term"]] = r["df"]
+    whole = rows.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+    return Corpus(df, whole["n"], whole["mean"] or 0.0)
+
+
 def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids its ids
     as little-endian unsigned 32-bit bytes."""
-    shared = broadcast_file(docs.sparkSession, path)
+    with open(path, encoding="utf-8") as f:
+        size = max(vocabulary(f.read(), only_ids=True).size, closing + 1)
+    rows = tokenised(docs, path, closing, size)
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_of(rows, size))
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys = np.array([corpus.value.keys(np.frombuffer(r, kind_of(size))) for r in frame["ids"]], np.int64).reshape(-1, KEYS)
+            yield frame.assign(**{f"k{k}": keys[:, k] for k in range(KEYS)})
 
-    def shards(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
-        keys, texts, chars, lang = [], [], 0, None
+    def shards(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[bytes]]]:
+        keys, raws, chars = [], [], 0
         for frame in frames:
-            for key, text, own in zip(frame["doc_id"].tolist(), frame["text"].tolist(), frame["lang"].tolist(), strict=True):
-                if keys and (len(keys) >= SHARD_DOCS or chars >= SHARD_CHARS or own != lang):
-                    yield keys, texts
-                    keys, texts, chars = [], [], 0
-                lang = own
+            for key, raw, own in zip(frame["doc_id"].tolist(), frame["ids"].tolist(), frame["chars"].tolist(), strict=True):
+                if keys and (len(keys) >= SHARD_DOCS or chars >= SHARD_CHARS):
+                    yield keys, raws
+                    keys, raws, chars = [], [], 0
                 keys.append(key)
-                texts.append(text)
-                chars += len(text or "")
+                raws.append(raw)
+                chars += own
         if keys:
-            yield keys, texts
+            yield keys, raws
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(shared.value, only_ids=True)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
-        end = np.array([closing], "<u4").tobytes()
-        for keys, texts in shards(frames):
-            raw = [r + end for r in vocab.ids_of(texts)]
-            ids = [np.frombuffer(r, "<u4") for r in raw]
-            rows = list(packer.pack(ids, vocab.size))
+        for keys, raw in shards(frames):
+            ids = [np.frombuffer(r, kind_of(size)) for r in raw]
+            rows = list(packer.pack(ids, size, corpus.value))
             place, start, length, sequence, offset = map(np.array, zip(*rows, strict=True))
-            cut = [raw[p][4 * s : 4 * (s + n)] for p, s, n, _, _ in rows]
+            cut = [ids[p][s : s + n].astype("<u4").tobytes() for p, s, n, _, _ in rows]
             out = pd.DataFrame({
                 "doc_id": pd.Series([keys[p] for p in place], dtype="Int64"), "start": start, "length": length,
                 "ids_crc32": [zlib.crc32(c) for c in cut], "doc_tokens": [len(ids[p]) for p in place],
@@ -151,8 +224,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_
             })
             yield out.assign(ids=cut) if with_ids else out
 
-    view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    mark = F.xxhash64("doc_id", "text")
-    view = view.withColumn("mark", mark).repartition("mark").sortWithinPartitions("lang", "doc_id", "mark")
+    kinds = "doc_id long, mark long, chars int, n long, ids binary, " + ", ".join(f"k{k} long" for k in range(KEYS))
+    order = [*[f"k{k}" for k in range(KEYS)], "doc_id", "mark"]
+    near = rows.mapInPandas(keyed, kinds).repartitionByRange(*order).sortWithinPartitions(*order)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return view.select("doc_id", "text", "lang").mapInPandas(run, schema)
+    return near.select("doc_id", "ids", "chars").mapInPandas(run, schema)

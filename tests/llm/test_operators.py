@@ -362,6 +362,35 @@ def test_packing_retrieves_by_bm25():
     assert set(ranked.tolist()) == set(range(4, 20, 2)) and len(index.query(0, np.zeros(20, bool))) == 0
 
 
+def test_packing_uses_all_terms_and_the_corpus():
+    rng = np.random.default_rng(5)
+    seed = np.arange(100, 150, dtype=np.uint32)
+    docs = [seed, *[np.array([100 + t, 900], np.uint32) for t in range(50)]]
+    index = packing.Index(docs, 1000)
+    assert set(index.query(0, np.ones(51, bool)).tolist()) >= set(range(1, 51))
+    df = rng.integers(1, 1000, 1000)
+    index = packing.Index(docs, 1000, packing.Corpus(df, 5000, 40.0))
+    want = sorted(range(1, 51), key=lambda d: (-math.log1p((5000 - df[99 + d] + 0.5) / (df[99 + d] + 0.5)), d))
+    unused = np.ones(51, bool)
+    unused[0] = False
+    assert index.query(0, unused).tolist() == want
+
+
+def test_near_copies_meet_from_the_whole_corpus(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(4000)]
+    texts = []
+    for _ in range(150):
+        own = rng.choice(words, 40).tolist()
+        texts += [" ".join(own), " ".join([*own[:-1], "other"])]
+    order = rng.permutation(300)
+    docs = some_docs(spark, [(int(i), texts[i]) for i in order]).repartition(4)
+    near = defaultdict(set)
+    for r in packing.pack(docs, PATH, window=1024).collect():
+        near[r["doc_id"]].add(r["sequence_id"])
+    assert len(near) == 300 and sum(bool(near[i] & near[i + 1]) for i in range(0, 300, 2)) >= 120
+
+
 # pages
 
 def test_main_text_of_hard_pages():
