@@ -84,7 +84,7 @@ t AS (SELECT doc_id, p, ln((count(*) OVER (PARTITION BY doc_id, c, b ORDER BY p)
 SELECT doc_id, count(*) AS n_bytes, round(-sum(l0) / ln(2), 3) AS order0_bits, round(-sum(l1) / ln(2), 3) AS order1_bits,
 round(-sum(ln(0.5 * exp(l0) + 0.5 * exp(l1))) / ln(2), 3) AS mixed_bits FROM t GROUP BY doc_id""")
 def ablation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 2048 bytes of each document (the feature's window): bits under order 0, order 1, and an even mixture byte by byte."""
+    """The first 2048 bytes of each document (as its SQL; a cut of this query, not of the reference): bits under order 0, order 1, and an even mixture byte by byte."""
     t = per_byte(document_blobs(spark, sf_dir), 2048)
     bits = lambda x: F.round(-F.sum(x) / F.lit(0.6931471805599453), 3)
     mix = F.log(0.5 * F.exp("l0") + 0.5 * F.exp("l1"))
