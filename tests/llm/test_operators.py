@@ -486,3 +486,17 @@ def test_bounds_hold_and_huge_scores_are_exact():
         assert (low <= data @ q).all() and (data @ q <= high).all()
     big = vafile.ApproximationFile(np.arange(2), np.array([[2.0**40, 3.0], [1.0, 1.0]]))
     assert big.exact(np.array([0]), np.array([2.0**20, 1.0])) == [2**60 + 3]
+
+
+def test_top_k_by_joins_of_large_queries(spark, monkeypatch):
+    """Without broadcast, by small blocks: the same rows; an empty table gives none."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.integers(-2, 3, size=4).astype(float).tolist()) for i in range(200)] + [(i, [1.0] * 4) for i in range(200, 330)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 50 == 0, scale=1.0).collect()))
+    for name, value in (("DATA_BLOCK", 16), ("QUERY_BLOCK", 2), ("BROADCAST_BYTES", -1), ("SALTS", 3)):
+        monkeypatch.setattr(vafile, name, value)
+    assert sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 50 == 0, scale=1.0).collect())) == want
+    score = {i: np.array(v) for i, v in rows}
+    assert want == sorted((q, n, i, int(-s)) for q in range(0, 330, 50) for n, (s, i) in enumerate(sorted((-(score[q] @ score[i]), i) for i in score if i != q)[:5], 1))
+    assert vafile.top_k(df.filter("false"), F.col("vec_id") % 50 == 0).collect() == []
