@@ -85,33 +85,34 @@ counts AS (
   FROM base b LEFT JOIN covered c ON b.r = c.r
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         n_symbols / greatest(word_chars, 1)::DOUBLE AS s1, n_dup_lines / greatest(n_lines, 1)::DOUBLE AS s2,
-         n_repeat_words / greatest(n_words, 1)::DOUBLE AS s3, n_upper / greatest(word_chars, 1)::DOUBLE AS s4
+         {logits}
   FROM counts
 ), views AS (
   SELECT lang, source, grouping(lang) AS gl, grouping(source) AS gs, count(*) AS n,
   {fences}
   FROM judged WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())
-), picked AS (
+), mixed AS (
   SELECT o.lang, o.source,
-  {picks}
+  {mixes}
   FROM views o
   JOIN views l ON l.gl = 0 AND l.gs = 1 AND o.lang IS NOT DISTINCT FROM l.lang
   JOIN views a ON a.gl = 1 AND a.gs = 1
   WHERE o.gl = 0 AND o.gs = 0
-)
+), picked AS (SELECT lang, source, {picks} FROM mixed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(s1 <= f1 AND s2 <= f2 AND s3 <= f3 AND s4 <= f4, true) AS kept
 FROM judged j LEFT JOIN picked p ON j.lang IS NOT DISTINCT FROM p.lang AND j.source IS NOT DISTINCT FROM p.source
 """.format(
-    fences=",\n  ".join(
-        f"least(quantile_disc(s{i}, 0.75) + {rules.SPREAD} * greatest(quantile_disc(s{i}, 0.75) - quantile_disc(s{i}, 0.25), {rules.LEAST[k]}), {rules.CEILING}) AS f{i}"
-        for i, k in enumerate(rules.SIGNALS, 1)
+    logits=", ".join(
+        f"ln(({n} + 0.5::DOUBLE) / (greatest({whole} - {n}, 0) + 0.5::DOUBLE)) AS s{i}"
+        for i, (n, whole) in enumerate((("n_symbols", "word_chars"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars")), 1)
     ),
-    picks=",\n  ".join(
-        f"least(CASE WHEN o.n >= {rules.MIN_ROWS} THEN o.f{i} WHEN l.n >= {rules.MIN_ROWS} THEN l.f{i} ELSE a.f{i} END, greatest(a.f{i}, {rules.LEAST[k] * rules.SPREAD})) AS f{i}"
-        for i, k in enumerate(rules.SIGNALS, 1)
+    fences=", ".join(f"quantile_disc(s{i}, 0.25) AS low{i}, quantile_disc(s{i}, 0.5) AS mid{i}" for i in range(1, 5)),
+    mixes=",\n  ".join(
+        f"(o.n * o.{q}{i} + {rules.PRIOR}::DOUBLE * ((l.n * l.{q}{i} + {rules.PRIOR}::DOUBLE * a.{q}{i}) / (l.n + {rules.PRIOR}::DOUBLE))) / (o.n + {rules.PRIOR}::DOUBLE) AS {q}{i}"
+        for i in range(1, 5) for q in ("low", "mid")
     ),
+    picks=", ".join(f"mid{i} + {rules.SPREAD[k]}::DOUBLE * greatest(mid{i} - low{i}, {rules.LEAST[k]}::DOUBLE) AS f{i}" for i, k in enumerate(rules.SIGNALS, 1)),
 )
 
 #: The key of the registered query; users give their own.

@@ -4,16 +4,21 @@ Signals of a text are measured first; quantile sketches of each signal per
 (lang, source) then give the thresholds in place of fixed cutoffs. The sketches
 are KLL sketches: they are partial aggregates that Spark merges, so no group,
 however hot, is gathered anywhere, and a finished sketch of a (lang, source)
-group is merged again into one of its language and one of everything. A group's
-threshold for a signal is the upper fence
+group is merged again into one of its language and one of everything.
 
-    q75 + SPREAD * max(q75 - q25, LEAST[signal])
+A signal is the empirical logit log((n + 1/2) / (N - n + 1/2)) of a share n / N.
+Unlike the share, which is 0 for most texts, it has a spread everywhere: a short
+text without a symbol says less than a long one. A group's threshold is
 
-of the widest view that is better than too small: a group of at least MIN_ROWS
-rows speaks for itself, else its language does, else the whole table. A fence
-reacts to what is usual in the group, so rows are only rejected when they are
-far outside of it; when more than a quarter of a group is bad the fence of the
-whole table, which is taken too, still holds.
+    q50 + SPREAD * max(q50 - q25, LEAST)
+
+by its own quantiles. Median and lower quartile stay those of ordinary texts
+while fewer than half of a group's rows are bad. Small groups borrow: each
+quantile is the mean of the group's own, weighted by its rows, and its language's,
+weighted as PRIOR rows (and likewise the language's and the whole table's), so
+that the weight of a group's own goes up smoothly with its rows. LEAST, for groups of copies
+that have next to no spread, is a fallback; the table of thresholds says in
+floored how many signals took it.
 
 Words are runs of [^\x20\x09-\x0D]. Defined cases: a null text has no words;
 null lang or source form groups of their own; repeated rows count as often as
@@ -30,9 +35,10 @@ from bytespan.llm.common import fresh, saved
 #: Word separators, and the characters that count as symbols (fixed values of the contract).
 SPACES, SYMBOLS = r"[ \t-\r]+", r"[^#*$%&|<>]+"
 SIGNALS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share")
-#: The least spread of a signal that a fence allows for: signals that are zero nearly everywhere have none of their own.
-LEAST = {"symbol_share": 0.01, "dup_line_share": 0.2, "repeat_share": 0.15, "upper_share": 0.15}
-SPREAD, MIN_ROWS, SKETCH_K, CEILING = 3.0, 200, 1024, 1.0
+#: How many lower half-spreads above the median a signal may be, and the least such spread that counts, in logits.
+SPREAD = {"symbol_share": 6.0, "dup_line_share": 8.0, "repeat_share": 10.0, "upper_share": 12.0}
+LEAST = {"symbol_share": 0.5, "dup_line_share": 0.4, "repeat_share": 0.4, "upper_share": 0.08}
+PRIOR, SKETCH_K, QUANTILES = 32.0, 1024, (0.25, 0.5)
 #: Up to so many (lang, source) groups their thresholds are broadcast (a few MB); beyond, they are joined.
 BROADCAST_ROWS = 50_000
 
@@ -78,13 +84,14 @@ def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
 
 def signals(m: str) -> dict[str, Column]:
-    f = lambda name: F.col(f"{m}.{name}").cast("double")
-    some = F.greatest(f("word_chars"), F.lit(1.0))
+    """The empirical logit of every share."""
+    def logit(part: str, whole: str) -> Column:
+        n, rest = F.col(f"{m}.{part}"), F.greatest(F.col(f"{m}.{whole}") - F.col(f"{m}.{part}"), F.lit(0))
+        return F.log((n + F.lit(0.5)) / (rest + F.lit(0.5)))
+
     return {
-        "symbol_share": f("n_symbols") / some,
-        "dup_line_share": f("n_dup_lines") / F.greatest(f("n_lines"), F.lit(1.0)),
-        "repeat_share": f("n_repeat_words") / F.greatest(f("n_words"), F.lit(1.0)),
-        "upper_share": f("n_upper") / some,
+        "symbol_share": logit("n_symbols", "word_chars"), "dup_line_share": logit("n_dup_lines", "n_lines"),
+        "repeat_share": logit("n_repeat_words", "n_words"), "upper_share": logit("n_upper", "word_chars"),
     }
 
 
@@ -102,27 +109,28 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum("rows").alias("rows"), *[F.kll_merge_agg_double(k).alias(k) for k in SIGNALS])
 
 
-def fences(parts: DataFrame) -> Column:
-    """The upper fence of every signal, as a struct, from sketch columns; null without rows, as an empty sketch has no quantiles."""
-    def fence(k: str) -> Column:
-        low, high = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.75))
-        return F.least(high + SPREAD * F.greatest(high - low, F.lit(LEAST[k])), F.lit(CEILING))
-    return F.when(F.col("rows") > 0, F.struct(*[fence(k).alias(k) for k in SIGNALS]))
+def quantiles(rows: str) -> Column:
+    """The quantiles of every signal, as a struct of arrays, from sketch columns; null without rows, as an empty sketch has none."""
+    return F.when(F.col(rows) > 0, F.struct(*[F.array(*[F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in QUANTILES]).alias(k) for k in SIGNALS]))
 
 
 def thresholds(rows: DataFrame, lang: str, source: str, values: dict[str, Column]) -> DataFrame:
-    """(lang, source, fence): one row per group. Its size is the number of distinct (lang, source) pairs."""
+    """(lang, source, rows, fence, floored): one row per group. Its size is the number of distinct (lang, source) pairs."""
     parts = saved(sketches(rows, [lang, source], values).select(F.col(lang).alias("lang"), F.col(source).alias("source"), "rows", *SIGNALS))
-    by_lang = merged(parts, ["lang"]).select(F.col("lang").alias("l"), F.col("rows").alias("lang_rows"), fences(parts).alias("lang_fence"))
-    whole = merged(parts, []).select(fences(parts).alias("whole_fence"), F.lit(1).alias("one"))
-    own = parts.select("lang", "source", "rows", fences(parts).alias("own_fence"), F.lit(1).alias("one"))
+    by_lang = merged(parts, ["lang"]).select(F.col("lang").alias("l"), F.col("rows").alias("lang_rows"), quantiles("rows").alias("by_lang"))
+    whole = merged(parts, []).select(quantiles("rows").alias("by_whole"), F.lit(1).alias("one"))
+    own = parts.select("lang", "source", "rows", quantiles("rows").alias("by_own"), F.lit(1).alias("one"))
     own = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(whole, "one", "left")
 
-    def pick(k: str) -> Column:
-        view = F.when(F.col("rows") >= MIN_ROWS, F.col(f"own_fence.{k}")).when(F.col("lang_rows") >= MIN_ROWS, F.col(f"lang_fence.{k}")).otherwise(F.col(f"whole_fence.{k}"))
-        return F.least(view, F.greatest(F.col(f"whole_fence.{k}"), F.lit(LEAST[k] * SPREAD))).alias(k)
+    def mixed(k: str, i: int) -> Column:
+        q = lambda view: F.col(f"{view}.{k}")[i]
+        of_lang = (F.col("lang_rows") * q("by_lang") + PRIOR * q("by_whole")) / (F.col("lang_rows") + PRIOR)
+        return (F.col("rows") * q("by_own") + PRIOR * of_lang) / (F.col("rows") + PRIOR)
 
-    return saved(own.select("lang", "source", F.struct(*[pick(k) for k in SIGNALS]).alias("fence")))
+    spread = {k: mixed(k, 1) - mixed(k, 0) for k in SIGNALS}
+    fence = F.struct(*[(mixed(k, 1) + SPREAD[k] * F.greatest(spread[k], F.lit(LEAST[k]))).alias(k) for k in SIGNALS])
+    floored = sum(((spread[k] < LEAST[k]).cast("int") for k in SIGNALS), F.lit(0))
+    return saved(own.select("lang", "source", "rows", fence.alias("fence"), floored.alias("floored")))
 
 
 def judged(df: DataFrame, m: str) -> tuple[DataFrame, str]:

@@ -500,3 +500,43 @@ def test_top_k_by_joins_of_large_queries(spark, monkeypatch):
     score = {i: np.array(v) for i, v in rows}
     assert want == sorted((q, n, i, int(-s)) for q in range(0, 330, 50) for n, (s, i) in enumerate(sorted((-(score[q] @ score[i]), i) for i in score if i != q)[:5], 1))
     assert vafile.top_k(df.filter("false"), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def shifted(n, share, source, seed):
+    """Documents of 80 words, of which about so many in a thousand characters are symbols."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 80)]
+        for p in rng.integers(0, 80, rng.poisson(share)):
+            w[p] = "&"
+        out.append((" ".join(w), source))
+    return out
+
+
+def test_thresholds_follow_their_group(spark, monkeypatch):
+    """What is usual in one source is too much in another, also beyond SKETCH_K rows; constant fences can't tell."""
+    rows = shifted(300, 0.5, "prose", 1) + shifted(300, 30, "code", 2) + [(t, s) for s in ("prose", "code") for t, _ in shifted(10, 30, s, 3)]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    for k in (1024, 16):
+        monkeypatch.setattr(rules, "SKETCH_K", k)
+        kept = {r["doc_id"] for r in rules.keep_quality(docs).collect()}
+        assert len(kept & set(range(300))) >= 297 and len(kept & set(range(300, 600))) >= 297
+        assert len(kept & set(range(600, 610))) <= 1 and kept >= set(range(610, 620))
+
+
+def test_fences_differ_by_source_of_documents(spark):
+    df, m = rules.measured(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    df, values = saved(df), rules.signals(m)
+    view = df.filter(~rules.base_failed(m)).select("lang", "source", *[v.alias(k) for k, v in values.items()])
+    table = rules.thresholds(view, "lang", "source", {k: F.col(k) for k in rules.SIGNALS}).collect()
+    assert len(table) > 20 and sum(r["floored"] for r in table) < 0.2 * 4 * len(table)
+    assert all(len({r["fence"][k] for r in table}) > 0.9 * len(table) for k in rules.SIGNALS)
+
+
+def test_copies_leave_their_group_a_spread(spark):
+    """Half of a source is one text: the fences of the rest hold."""
+    rows = shifted(200, 0.5, "s", 5)
+    rows += rows[:1] * 300
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    assert rules.keep_quality(docs).count() >= 495
