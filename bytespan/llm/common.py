@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: With this Spark deletes a query's shuffle files when the query ends; what saved() writes is all that stays of it.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +45,12 @@ def saved(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bytespan/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
@@ -100,7 +109,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = saved(both.filter(F.col("a") != F.col("b")))
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    labels = held = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("up"))
@@ -110,6 +119,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = step.join(hop, "up").select("node", "old", F.least("up", "far").alias("new")).join(tell, "node", "left")
         step = saved(step.select("node", "old", F.least("new", "told").alias("component")))
         changed = step.filter(F.col("old") != F.col("component")).limit(1).count()
-        labels = step.select("node", "component")
+        discard(held)
+        labels, held = step.select("node", "component"), step
         if not changed:
+            discard(both)
             return labels

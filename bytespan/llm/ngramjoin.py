@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytespan.llm.common import components, fresh, salt_of, salted, saved, ship, small, tasks
+from bytespan.llm.common import components, discard, fresh, salt_of, salted, saved, ship, small, tasks
 from bytespan.llm.words import Words, distinct, mixed, parts
 
 BUCKETS, CHUNK, SALTS = 1 << 20, 256, 16
@@ -55,8 +55,6 @@ BROADCAST_SETS = 500_000
 ROW = 4096  # counters in one row of the table on its way
 #: DivideSkip's constant: how much a binary probe costs against a step of the merge.
 MU = 0.01
-#: Merge steps for each set in question up to which the short lists are merged at all.
-MERGE = 32
 #: Long lists probed between two looks at which sets can still reach their overlap.
 PROBED = 64
 #: Lists of up to so many nodes give pairs; longer ones are compared block by block, BLOCK nodes against BLOCK.
@@ -100,17 +98,11 @@ class Lists:
         longest = max(int(self.length[lists[-1]]), 2)
         n_long = min(int(t / (MU * math.log2(longest) + 1)), t - 1)
         short, rest = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        overlap = np.zeros(len(found), np.int64)
-        if self.length[short].sum() <= MERGE * len(found):
-            merged = heapq.merge(*[self.members[self.begin[x] : self.begin[x + 1]].tolist() for x in short])
-            counts = np.zeros(self.m, np.int64)
-            for member, run in groupby(merged):
-                counts[member] = sum(1 for _ in run)
-            keep = counts[found] >= t - n_long
-            found = found[keep]
-            overlap = counts[found]
-        else:  # the lists are so full that probing all of them is cheaper than merging any: all count as long
-            rest = lists
+        counts = np.zeros(self.m, np.int64)
+        for member, run in groupby(heapq.merge(*[self.members[self.begin[x] : self.begin[x + 1]].tolist() for x in short])):
+            counts[member] = sum(1 for _ in run)
+        found = found[counts[found] >= t - n_long]
+        overlap = counts[found]
         for a in range(0, len(rest), PROBED):
             keep = overlap + (len(rest) - a) >= need[found]
             found, overlap = found[keep], overlap[keep]
@@ -397,33 +389,40 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     """(doc_id, n_shingles, component_id) of every row: linked when den * intersection >= num * union."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sig = saved(signatures(docs, k, num, den))
-    some = sig.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    members = saved(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
+    whole = saved(signatures(docs, k, num, den))
+    sig = saved(whole.select("doc_id", "n", "s1", "s2"))
+    some = F.col("n") > 0, F.col("doc_id").isNotNull()
+    members = saved(sig.filter(some[0] & some[1]).groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
     # the prefixes stay where they are: each set is represented by the row of its smallest id
-    nodes = some.join(small(members), ["s1", "s2"]).filter(F.col("doc_id") == F.col("node"))
+    nodes = whole.filter(some[0] & some[1]).join(small(members), ["s1", "s2"]).filter(F.col("doc_id") == F.col("node"))
     lists = saved(shared_lists(nodes))
     known = saved(lists.select("node").distinct())
     marks = saved(nodes.join(small(known), "node", "left_semi").select("node", "n", "parity").distinct())
-    texts = saved(docs.join(small(known).withColumnRenamed("node", "doc_id"), "doc_id"))
-    star = lists.filter((F.col("node") != F.col("leader")) & (den * F.col("leader_n") >= num * F.col("n"))).select(F.col("leader").alias("q"), F.col("node").alias("c")).distinct()
+    discard(whole)
+    texts = docs.join(small(known).withColumnRenamed("node", "doc_id"), "doc_id")
+    star = saved(lists.filter((F.col("node") != F.col("leader")) & (den * F.col("leader_n") >= num * F.col("n"))).select(F.col("leader").alias("q"), F.col("node").alias("c")).distinct())
     links = saved(linked(saved(possible(star, marks, num, den)), texts, k, num, den))
+    discard()
     near = components(links)
     marked = lists.join(small(near), "node", "left").select("shingle", "n", "node", "leader", F.coalesce("component", "node").alias("component"))
     own = Window.partitionBy("shingle")
     marked = marked.withColumn("size", F.count("*").over(own)).withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own))
     open_lists = saved(marked.filter(F.col("low") != F.col("high")).drop("low", "high"))
+    discard(lists)
     tried = star.select(F.least("q", "c").alias("q"), F.greatest("q", "c").alias("c"))
     rest = crossing_pairs(open_lists.filter(F.col("size") <= SMALL), num, den).join(tried, ["q", "c"], "left_anti")
     more = saved(linked(saved(possible(rest, marks, num, den)), texts, k, num, den))
     big = open_lists.filter(F.col("size") > SMALL)
     # a list's nodes all meet under its leader; the lists of a group of near copies mostly have the same
     clusters = saved(big.select(F.col("leader").alias("cluster"), "node", "component").distinct())
+    discard(open_lists, star)
     more = more.union(saved(block_links(clusters, marks, texts, k, num, den)))
+    discard(clusters, marks, known)
     reach = components(links.union(more))
     # only sets that are linked or have copies can have another component than their row's own id
     reach = members.join(small(reach), "node", "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
     reach = saved(reach.select("s1", "s2", F.coalesce("component", "node").alias("component_id")))
+    discard(members)
     (salt,) = fresh(sig, "_salt")
     if reach.count() <= BROADCAST_SETS:
         whole = sig.join(F.broadcast(reach), ["s1", "s2"], "left")
