@@ -1,19 +1,26 @@
 r"""BPE encoding and decoding by batched numpy merge rounds.
 
-A batch of texts is cut at white space; each distinct piece not met before is
-pre-tokenised into words, and the distinct words' symbols lie one after another
-in one flat array. In each round every word's adjacent pairs are looked up by
-binary search in the sorted keys of all merges; the lowest rank of each word is
-merged at all its places, words without a mergeable pair leave, and the rest go
-on. So the Python interpreter works per distinct piece, not per symbol.
+A batch of texts is cut at white space in one flat array of bytes, and each piece
+is looked up by a 64-bit hash in a table of the pieces met before. Each distinct
+new piece is pre-tokenised into words, and the distinct words' symbols lie one
+after another in one flat array. In each round every word's adjacent pairs are
+looked up by binary search in the sorted keys of all merges; the lowest rank of
+each word is merged at all its places, words without a mergeable pair leave, and
+the rest go on. So the Python interpreter works per distinct new piece alone.
 
 The vocabulary file is that of the public tokenizers library (model BPE with a
 byte-level alphabet, an end-of-word suffix, NFC and lower case as normalisers,
 added tokens cut out of the raw text first). Its path is a parameter; the
 driver reads it once and its text (about 2 MB, a fixed size) is broadcast.
 
+The table of pieces holds at most REMEMBERED of them and REMEMBERED_IDS ids, then
+starts anew; pieces of more than LONG bytes (text without spaces) are never kept.
+Two pieces with one 64-bit hash would be taken for each other: for a full table
+the chance is 1e-13 a new piece.
+
 Defined cases: a null or empty text has no tokens; texts of any length are
-encoded whole; repeated rows are encoded alike; other columns pass through.
+encoded whole, in parts cut at spaces; repeated rows are encoded alike; other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -22,22 +29,31 @@ import gc
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from bytespan.llm.common import ship
+from bytespan.llm.words import SPACE as SPACES
+from bytespan.llm.words import Words, buffers
 
-#: Pieces that a worker remembers; beyond, its memory starts anew.
-REMEMBERED = 200_000
+#: Pieces and ids that a worker remembers, about 100 MB, and bytes beyond which a piece isn't kept.
+REMEMBERED, REMEMBERED_IDS, LONG = 2_000_000, 8_000_000, 256
+#: Bytes of text that are encoded at once.
+PART = 2_000_000
 #: Marks that never belong to a word beside letters.
 PLAIN_ENDS = frozenset(",.!?;:")
 #: Control characters that Python's split takes for white space but regular expressions don't.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 SPACE = regex.compile(r"\p{White_Space}+")
+#: White space beyond ASCII, as UTF-8, and the first bytes of it (fixed values of Unicode).
+WIDE_SPACES = frozenset("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+WIDE_LEAD = np.zeros(256, bool)
+WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def byte_alphabet() -> list[str]:
@@ -50,12 +66,90 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Pieces:
+    """An open hash table in flat arrays: 64-bit keys of pieces, and where the ids of each lie."""
+
+    def __init__(self):
+        self.bits, self.count, self.used = 16, 0, 0
+        self.key, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.begin, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.flat = np.zeros(1 << 17, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each key; -1 for unknown ones. Keys are not 0."""
+        mask = (1 << self.bits) - 1
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        seen = self.key[slot]
+        hit = seen == h
+        out = np.where(hit, self.place[slot], -1)
+        going = np.flatnonzero(~hit & (seen != 0))
+        slot = slot[going]
+        while len(going):
+            slot = (slot + 1) & mask
+            seen = self.key[slot]
+            hit = seen == h[going]
+            out[going[hit]] = self.place[slot[hit]]
+            stay = ~hit & (seen != 0)
+            going, slot = going[stay], slot[stay]
+        return out
+
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.key[slot] == 0
+            self.key[slot[free]] = h[free]  # of several for one slot the last stays
+            won = self.key[slot] == h
+            self.place[slot[won]] = entry[won]
+            h, entry, slot = h[~won], entry[~won], (slot[~won] + 1) & mask
+
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New distinct keys with their ids, one key's after another's."""
+        if self.count + len(h) > REMEMBERED or self.used + len(ids) > REMEMBERED_IDS:
+            self.__init__()
+            if len(h) > REMEMBERED or len(ids) > REMEMBERED_IDS:
+                return
+        while 2 * (self.count + len(h)) > 1 << self.bits:
+            old = np.flatnonzero(self.key)
+            h_old, entry_old = self.key[old], self.place[old]
+            self.bits += 1
+            self.key, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(h_old, entry_old)
+        for name, need in (("begin", self.count + len(h)), ("size", self.count + len(h)), ("flat", self.used + len(ids))):
+            now = getattr(self, name)
+            if need > len(now):
+                setattr(self, name, np.r_[now, np.zeros(max(need, 2 * len(now)) - len(now), now.dtype)])
+        entry = np.arange(self.count, self.count + len(h))
+        self.begin[entry], self.size[entry] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : self.used + len(ids)] = ids
+        self._put(h, entry.astype(np.int32))
+        self.count, self.used = self.count + len(h), self.used + len(ids)
+
+
+def runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every run, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+class Table:
+    """Byte strings by number, in flat arrays."""
+
+    def __init__(self, texts: list[bytes]):
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.begin, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(texts), np.uint8)
+
+    def joined(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """The strings of ids, joined; ids[begin[t] : begin[t + 1]] belong to result t."""
+        size = self.size[ids]
+        raw, upto = self.data[runs(self.begin[ids], size)].tobytes(), np.r_[0, np.cumsum(size)]
+        return [raw[a:b] for a, b in zip(upto[begin[:-1]].tolist(), upto[begin[1:]].tolist(), strict=True)]
+
+
 class Vocabulary:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, text: str, only_ids: bool = False):
-        """only_ids: look_up() gives the ids of a piece as little-endian bytes alone, and remembers more pieces."""
-        self.only_ids, self.most = only_ids, REMEMBERED * (3 if only_ids else 1)
+    def __init__(self, text: str):
         spec = json.loads(text)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -77,8 +171,10 @@ class Vocabulary:
         self.keys, self.ranks, self.made = keys[by_key], order[by_key], np.append(made, -1)
         self.none = len(order)  # the rank of pairs that don't merge
         self.keys, self.ranks = np.append(self.keys, np.iinfo(np.int64).max), np.append(self.ranks, self.none)
-        self.memory: dict[str, tuple[int, str, str] | bytes] = {}
-        self.older: dict[str, tuple[int, str, str] | bytes] = {}
+        self.memory = Pieces()
+        every = [self.tokens.get(i, "") for i in range(self.size)]
+        #: Each id, and each token, with a space after it.
+        self.id_texts, self.token_texts = Table([b"%d " % i for i in range(self.size)]), Table([f"{t} ".encode("utf-8", "surrogatepass") for t in every])
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, by binary search over the sorted pair keys."""
@@ -157,102 +253,130 @@ class Vocabulary:
             return [p for p in SPACE.split(text) if p]
         return text.split()
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Remember each piece as (number of tokens, its ids as text, its tokens as text), or with only_ids as their bytes."""
-        found, words = [], {}
-        add = words.setdefault
+    def learned(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, how many each has)."""
+        words: dict[str, int] = {}
+        add, of, count = words.setdefault, [], []  # the words of all pieces, and how many each has
+        special = {"\0\0" + t: i for t, i in self.added.items()}
         for p in pieces:
             low = p.lower() if p.isascii() else self.normalised(p)
             if low.isalpha():  # one run of letters
-                found.append((p, add(low, len(words)), None))
+                of.append(add(low, len(words)))
+                count.append(1)
             elif low[-1] in PLAIN_ENDS and low[:-1].isalpha():  # letters and one mark, as most other pieces
-                found.append((p, -1, (add(low[:-1], len(words)), add(low[-1], len(words)))))
-            elif p[:2] == "\0\0" and p[2:] in self.added:
-                i = self.added[p[2:]]
-                raw = np.array([i], "<u4").tobytes()
-                self.memory[p] = raw if self.only_ids else (1, str(i), p[2:])
+                of += add(low[:-1], len(words)), add(low[-1], len(words))
+                count.append(2)
+            elif p in special:
+                of.append(-1 - special[p])
+                count.append(1)
             else:
-                found.append((p, -1, [add(w, len(words)) for w in self.words.findall(low)]))
-        if not found:
-            return
+                found = self.words.findall(low)
+                of += [add(w, len(words)) for w in found]
+                count.append(len(found))
         ids, at = self.merge_words(list(words)) if words else (np.empty(0, np.int64), np.zeros(1, np.int64))
-        raw, flat, at = ids.astype("<u4").tobytes(), ids.tolist(), at.tolist()
-        if self.only_ids:
-            made = [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
-            self.memory.update((p, made[one] if many is None else b"".join([made[k] for k in many])) for p, one, many in found)
-            return
-        as_ids, as_tokens = list(map(str, flat)), list(map(self.tokens.__getitem__, flat))
-        made = [(b - a, " ".join(as_ids[a:b]), " ".join(as_tokens[a:b])) for a, b in zip(at, at[1:])]
-        for p, one, many in found:
-            if many is None:
-                self.memory[p] = made[one]
+        word = np.array(of, np.int64)
+        known = word >= 0
+        # an added token is a word of one id, beyond the others
+        ids, begin = np.r_[ids, -1 - word[~known]], np.zeros(len(word), np.int64)
+        size = np.ones(len(word), np.int64)
+        begin[known], size[known] = at[word[known]], at[word[known] + 1] - at[word[known]]
+        begin[~known] = at[-1] + np.arange((~known).sum())
+        total = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(count)]]
+        return ids[runs(begin, size)].astype(np.uint32), np.diff(total)
+
+    def plain(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts whose pieces stand between ASCII spaces: those with other white space or added tokens are rewritten."""
+        odd = np.zeros(len(raw), bool)
+        for at in np.flatnonzero(WIDE_LEAD[raw]):
+            odd[at] = raw[at : at + 3].tobytes().decode("utf-8", "ignore")[:1] in WIDE_SPACES
+        if self.added and len(raw) > 1:
+            odd[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        if not odd.any():
+            return raw, offsets
+        parts = []
+        for t in np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1):
+            text = raw[offsets[t] : offsets[t + 1]].tobytes().decode("utf-8", "surrogatepass")
+            parts.append((t, " ".join(self.pieces(text)).encode("utf-8", "surrogatepass")))
+        sizes, out, at = np.diff(offsets), [], 0
+        for t, new in parts:
+            out += [raw[at : offsets[t]].tobytes(), new]
+            at, sizes[t] = offsets[t + 1], len(new)
+        return np.frombuffer(b"".join([*out, raw[at:].tobytes()]), np.uint8), np.r_[0, np.cumsum(sizes)]
+
+    def part_ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some texts, where each text's begin and the last ends)."""
+        raw, offsets = self.plain(raw, offsets)
+        words = Words(raw, offsets, lower=False)
+        h = np.maximum(words.hashes, np.uint64(1))
+        entry = self.memory.find(h)
+        new = np.flatnonzero(entry < 0)
+        begin, size, flat = self.memory.begin[entry], self.memory.size[entry], self.memory.flat
+        if len(new):
+            key, first, which = np.unique(h[new], return_index=True, return_inverse=True)
+            starts = words.starts[new[first]]
+            ends = np.append(words.starts, len(raw))[new[first] + 1]
+            data = raw.tobytes()
+            pieces = [data[a:b].rstrip(b" \t\n\x0b\x0c\r").decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            collecting = gc.isenabled()
+            gc.disable()  # the many short strings hold no cycles
+            try:
+                ids, count = self.learned(pieces)
+            finally:
+                if collecting:
+                    gc.enable()
+            own = np.cumsum(count) - count
+            # ids of new pieces stand behind those that were known
+            begin[new], size[new] = len(flat) + own[which], count[which]
+            flat = np.r_[flat, ids]
+            short = np.array([len(p) <= LONG for p in pieces], bool)
+            self.memory.add(key[short], ids[runs(own[short], count[short])], count[short])
+        return flat[runs(begin, size)], np.r_[0, np.cumsum(size)][words.begin]
+
+    def ids_of(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, text after the last, ids, where each text's begin): texts in order, some at a time, each whole.
+
+        raw: the texts' bytes, one after another; offsets: where each begins, and the end. A text of more than PART
+        bytes is encoded in parts that end where a space stands."""
+        t, n = 0, len(offsets) - 1
+        while t < n:
+            end = min(max(int(np.searchsorted(offsets, offsets[t] + PART, "right")) - 1, t + 1), n)
+            if end == t + 1 and offsets[end] - offsets[t] > PART:
+                own, at, ids = raw[offsets[t] : offsets[end]], 0, []
+                marked = b"<|" in own.tobytes()  # added tokens may hold spaces: such a text isn't cut
+                while at < len(own):
+                    upto = len(own)
+                    if not marked and upto - at > PART:
+                        spaces = np.flatnonzero(SPACES[own[at + PART :][:PART]])
+                        while not len(spaces) and (upto := at + 2 * PART) < len(own):  # a piece of more than PART bytes
+                            spaces = np.flatnonzero(SPACES[own[upto:]])
+                            break
+                        upto = at + PART + int(spaces[0]) if len(spaces) and upto == len(own) else upto + int(spaces[0]) if len(spaces) else len(own)
+                    ids.append(self.part_ids(own[at:upto], np.array([0, upto - at]))[0])
+                    at = upto
+                whole = np.concatenate(ids)
+                yield t, end, whole, np.array([0, len(whole)])
             else:
-                n, i, t = zip(*[made[k] for k in many], strict=True) if many else ((), (), ())
-                self.memory[p] = (sum(n), " ".join(i), " ".join(t))
-
-    def look_up(self, texts: list[str | None]) -> list[list]:
-        """What is remembered of each text's pieces, in order; each piece has a token at least.
-
-        Memory has two generations of at most self.most pieces, besides those of
-        the texts at hand: what an older one knows moves on when it is met again.
-        """
-        cut = self.known(texts)
-        get = self.memory.__getitem__
-        return [list(map(get, pieces)) for pieces in cut]
-
-    def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        """With only_ids: the ids of each text as bytes."""
-        cut = self.known(texts)
-        get = self.memory.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-    def known(self, texts: list[str | None]) -> list[list[str]]:
-        """The pieces of each text, all of them in memory now."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = set().union(*cut)
-        if len(self.memory) > self.most:
-            self.older, self.memory = self.memory, {}
-        new.difference_update(self.memory)
-        known = new.intersection(self.older)
-        self.memory.update(zip(known, map(self.older.__getitem__, known)))
-        new -= known
-        if new:
-            self.learn(new)
-        return cut
+                yield t, end, *self.part_ids(raw[offsets[t] : offsets[end]], offsets[t : end + 1] - offsets[t])
+            t = end
 
     def encode(self, text: str | None) -> list[int]:
-        found = self.look_up([text])[0]
-        return np.frombuffer(b"".join(found), "<u4").tolist() if self.only_ids else [int(i) for x in found for i in x[1].split()]
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        return [i for *_, ids, _ in self.ids_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) for i in ids.tolist()]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by one space; unknown ids are passed over."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[slice]:
-    """Slices of consecutive texts of at most so many characters, or one text."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > most:
-            yield slice(begin, k)
-            begin, size = k, 0
-        size += n
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 _loaded: dict[str, Vocabulary] = {}
 
 
-def vocabulary(text: str, only_ids: bool = False) -> Vocabulary:
+def vocabulary(text: str) -> Vocabulary:
     """The worker's vocabulary of a file's text, built once; only the last one stays."""
-    name = f"{hashlib.sha256(text.encode()).hexdigest()} {only_ids}"
+    name = hashlib.sha256(text.encode()).hexdigest()
     if name not in _loaded:
         _loaded.clear()
-        _loaded[name] = Vocabulary(text, only_ids)
-        gc.freeze()  # what stays for good need not be searched for garbage again and again
-        gc.disable()  # the entries of the memory hold no cycles
+        _loaded[name] = Vocabulary(text)
     return _loaded[name]
 
 
@@ -263,44 +387,32 @@ def broadcast_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_column(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids as text joined by one space, decoded) of every row."""
+def encoded(docs: DataFrame, path: str, text: str, key: str, made: dict[str, str]) -> DataFrame:
+    """(key, n_tokens, then as made says: ids and decoded as text, or their digests) of every row."""
     shared = broadcast_file(docs.sparkSession, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
-        for frame in batches:
-            texts = frame["text"].tolist()
-            for part in chunks(texts):
-                rows = vocab.look_up(texts[part])
-                yield pd.DataFrame({
-                    "key": frame["key"].iloc[part],
-                    "n_tokens": [sum(x[0] for x in r) for r in rows],
-                    "ids": [" ".join([x[1] for x in r]) for r in rows],
-                    "decoded": [" ".join([x[2] for x in r]) for r in rows],
-                })
+        finish = {"text": lambda b: b.decode("utf-8", "surrogatepass"), "sha256": lambda b: hashlib.sha256(b).hexdigest()}
+        for batch in batches:
+            for a, b, ids, begin in vocab.ids_of(*buffers(batch.column(1))):
+                out = {"key": batch.column(0).slice(a, b - a), "n_tokens": pa.array(np.diff(begin), pa.int64())}
+                for name, kind in made.items():
+                    table = vocab.id_texts if name.startswith("ids") else vocab.token_texts
+                    # the last id or token has no space after it
+                    out[name] = pa.array([finish[kind](x[:-1]) for x in table.joined(ids, begin)], pa.string())
+                yield pa.record_batch(out)
 
     kind = dict(docs.dtypes)[key]
-    return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInPandas(run, f"key {kind}, n_tokens long, ids string, decoded string").withColumnRenamed("key", key)
+    rows = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, n_tokens long, " + ", ".join(f"{c} string" for c in made))
+    return rows.withColumnRenamed("key", key)
 
 
-def digest_column(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode, decode, and hash where the rows are, so that no ids travel."""
-    shared = broadcast_file(docs.sparkSession, path)
+def encode_column(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids as text joined by one space, decoded) of every row."""
+    return encoded(docs, path, text, key, {"ids": "text", "decoded": "text"})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(shared.value)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for frame in batches:
-            texts = frame["text"].tolist()
-            for part in chunks(texts):
-                rows = vocab.look_up(texts[part])
-                yield pd.DataFrame({
-                    "key": frame["key"].iloc[part],
-                    "n_tokens": [sum([x[0] for x in r]) for r in rows],
-                    "ids_sha256": [sha(" ".join([x[1] for x in r])) for r in rows],
-                    "decoded_sha256": [sha(" ".join([x[2] for x in r])) for r in rows],
-                })
 
-    kind = dict(docs.dtypes)[key]
-    return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInPandas(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+def digest_column(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): encode, decode, and hash where the rows are, so that no ids travel."""
+    return encoded(docs, path, text, key, {"ids_sha256": "sha256", "decoded_sha256": "sha256"})

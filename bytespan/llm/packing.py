@@ -29,17 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytespan.llm.bpe import broadcast_file, vocabulary
-from bytespan.llm.common import saved
-from bytespan.llm.words import mixed
+from bytespan.llm.common import discard, saved, tasks
+from bytespan.llm.words import buffers, mixed
 
 SHARD_DOCS, SHARD_CHARS, HEAVY, KEYS = 512, 2_000_000, 8, 4
-#: Rows that a task tokenises and hands over at once.
-ROWS = 1000
 K1, B = 1.2, 0.75
 
 
@@ -152,19 +151,20 @@ class Packer:
 def tokenised(docs: DataFrame, path: str, closing: int, size: int) -> DataFrame:
     """(doc_id, mark, chars, n, ids) of every row: ids as bytes of their kind, with the closing one; saved."""
     shared = broadcast_file(docs.sparkSession, path)
+    kind = kind_of(size)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = vocabulary(shared.value, only_ids=True)
-        end = np.array([closing], "<u4").tobytes()
-        for whole in frames:
-            for at in range(0, len(whole), ROWS):
-                frame = whole.iloc[at : at + ROWS]
-                ids = [np.frombuffer(r + end, "<u4").astype(kind_of(size)) for r in vocab.ids_of(frame["text"].tolist())]
-                yield frame[["doc_id", "mark", "chars"]].assign(n=list(map(len, ids)), ids=[i.tobytes() for i in ids])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, end = vocabulary(shared.value), np.array([closing], kind).tobytes()
+        for batch in batches:
+            for a, b, ids, begin in vocab.ids_of(*buffers(batch.column(3))):
+                raw, at = ids.astype(kind).tobytes(), (begin * np.dtype(kind).itemsize).tolist()
+                whole = [raw[x:y] + end for x, y in zip(at[:-1], at[1:], strict=True)]
+                own = [batch.column(k).slice(a, b - a) for k in range(3)]
+                yield pa.record_batch([*own, pa.array(np.diff(begin) + 1, pa.int64()), pa.array(whole, pa.binary())], ["doc_id", "mark", "chars", "n", "ids"])
 
     view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     view = view.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.length("text").alias("chars"), "text")
-    return saved(view.mapInPandas(run, "doc_id long, mark long, chars int, n long, ids binary"))
+    return saved(view.mapInArrow(run, "doc_id long, mark long, chars int, n long, ids binary"))
 
 
 def corpus_of(rows: DataFrame, size: int) -> Corpus:
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids its ids
     as little-endian unsigned 32-bit bytes."""
     with open(path, encoding="utf-8") as f:
-        size = max(vocabulary(f.read(), only_ids=True).size, closing + 1)
+        size = max(vocabulary(f.read()).size, closing + 1)
     rows = tokenised(docs, path, closing, size)
     corpus = docs.sparkSession.sparkContext.broadcast(corpus_of(rows, size))
 
@@ -226,6 +226,9 @@ def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_
 
     kinds = "doc_id long, mark long, chars int, n long, ids binary, " + ", ".join(f"k{k} long" for k in range(KEYS))
     order = [*[f"k{k}" for k in range(KEYS)], "doc_id", "mark"]
-    near = rows.mapInPandas(keyed, kinds).repartitionByRange(*order).sortWithinPartitions(*order)
+    # saved, as ranges are found by a sample of the keys: that reads no ids and forms no key twice
+    keys = saved(rows.mapInPandas(keyed, kinds))
+    discard(rows)
+    near = keys.repartitionByRange(tasks(docs), *order).sortWithinPartitions(*order)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return near.select("doc_id", "ids", "chars").mapInPandas(run, schema)
