@@ -3,8 +3,9 @@
 1. Entities are found in whole texts by patterns per kind (e-mail, telephone, IP
    and MAC address, IBAN, card and other long numbers, social security number,
    URL credentials, secrets after a naming word, well-known token forms) and,
-   for persons, by titles and given names; parts of a name found once in a text
-   are also found where they stand alone in it.
+   for persons, by titles, given names and salutations, after which any one or two
+   capitalised words are a name (words of any kind in scripts without case);
+   parts of a name found once in a text are also found where they stand alone in it.
 2. Entities are reduced to distinct (kind, canonical form) pairs. The canonical
    form folds what may differ between mentions (case, separators), so all
    mentions in all documents co-refer.
@@ -15,12 +16,15 @@
    Surrogates are joined against each other and against all found entities; of
    those that collide the smallest form keeps its surrogate and the others draw
    again, until none is left. So distinct entities stay distinct, and no
-   surrogate is another person's real value.
-4. Mentions are replaced in the case and with the separators they came in.
+   surrogate is another person's real value. The smallest is a partial aggregate,
+   so that the many names that draw from one short list meet in no task.
+4. Mentions are replaced in the case, with the separators and in the digits they
+   came in. Texts are known by 128 bits of a hash; where two should have the same,
+   entities without a surrogate of the table take their first draw.
 
 Only texts with an entity are joined with the map; all others pass by without a
-shuffle. Names, given names and titles are short fixed lists; surnames are
-made of syllables, so their number doesn't run out.
+shuffle. Given names, titles and salutations are short fixed lists; surnames and
+given names beyond the list are made of syllables, so their number doesn't run out.
 
 Defined cases: null and empty texts pass unchanged; overlapping matches go to
 the earlier, then the longer; rows that repeat are replaced alike, whatever
@@ -29,15 +33,17 @@ their doc_id, null included; extra columns pass; an empty table passes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytespan.llm.common import fresh, salt_of, salted, saved, ship
+from bytespan.llm.common import discard, fresh, salt_of, salted, saved, ship
 
 SALTS = 16
 #: Draws after which a form grows longer, so that small shapes can't run out of values.
@@ -54,7 +60,10 @@ MALE = {
     "cyrillic": "Иван Пётр Алексей Сергей Дмитрий Николай Андрей Михаил Владимир Павел".split(),
     "greek": "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Πέτρος".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Mme Madame Mlle Frau Sra Señora Srta Doña Lady Г-жа Госпожа Κυρία".split(), "m": "Mr Mister Monsieur Herr Sr Señor Don Sir Г-н Господин Κύριος".split(), "n": "Dr Prof Mx Доктор".split()}
+TITLES = {"f": "Mrs Ms Miss Mme Madame Mlle Frau Sra Señora Srta Doña Lady Г-жа Госпожа Κυρία السيدة גברת".split(), "m": "Mr Mister Monsieur Herr Sr Señor Don Sir Г-н Господин Κύριος السيد מר".split(), "n": "Dr Prof Mx Доктор الدكتور".split()}
+# Salutations by the gender that they tell, before the name, and the Han titles that follow a name.
+GREETINGS = {"f": "Chère Estimada Querida Уважаемая Дорогая Αγαπητή".split(), "m": "Lieber Estimado Querido Уважаемый Дорогой Αγαπητέ".split(), "n": "Dear Liebe Cher Hi Hello Hey Hola Bonjour Hallo".split()}
+AFTER = {"先生": "m", "女士": "f", "小姐": "f"}
 #: Titles that may be written with a dot.
 DOTTED = frozenset("Mr Ms Mx Mrs Mme Mlle Dr Prof Sr Sra Srta".split())
 SYLLABLES = {
@@ -63,6 +72,7 @@ SYLLABLES = {
     "greek": "βα γορ δαν ελ ζα θεο καλ λα μαρ νικ παπ ρο σα ταρ φι χρι".split(),
 }
 ENDINGS = {"latin": ["son", "mann", "ard", "ez", "ton", "er"], "cyrillic": ["ов", "ин", "ский"], "greek": ["ίδης", "όπουλος", "άκης"]}
+GIVEN_ENDINGS = {"f": {"latin": "a", "cyrillic": "а", "greek": "α"}, "m": {"latin": "o", "cyrillic": "ий", "greek": "ος"}}
 
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+",
@@ -71,8 +81,8 @@ PATTERNS = {
     "token": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+|(?=[a-f]*[0-9])[0-9a-f]{32,}|(?=[A-F]*[0-9])[0-9A-F]{32,})\b",
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "mac": r"\b(?:(?:[0-9A-Fa-f]{2}:){5}|(?=[A-Fa-f-]*[0-9])(?:[0-9A-Fa-f]{2}-){5})[0-9A-Fa-f]{2}\b",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.\d)",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\w]|[.-]\d)",
@@ -80,16 +90,20 @@ PATTERNS = {
 WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _titles = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _given = "|".join(sorted({n for ns in (FEMALE, MALE) for names in ns.values() for n in names}, key=len, reverse=True))
+_greetings = "|".join(sorted((g for gs in GREETINGS.values() for g in gs), key=len, reverse=True))
 TITLED = re.compile(rf"(?<!\w)({_titles})\.? (?=[^\W\d_])((?:{WORD})(?: (?:{WORD}))?)")
 GIVEN = re.compile(rf"(?<!\w)({_given}) ({WORD})(?!\w)")
+#: A salutation is followed by a given name and a surname, and something that ends it.
+GREETED = re.compile(rf"(?<!\w)({_greetings}) ({WORD}) ({WORD})(?=\s*[,!:;.\n]|\s*$)")
+HAN = re.compile(rf"([\u4e00-\u9fff]{{2,3}}?)({'|'.join(AFTER)})")
 #: A pattern is only tried on texts where this, quickly looked for, occurs.
 NEEDS = {"email": re.compile("@"), "credential": re.compile("://"), "secret": re.compile("[=:]"), "token": re.compile(r"AKIA|gh[pousr]_|sk-|xox|eyJ|[0-9]"), "ipv6": re.compile(":[0-9A-Fa-f]{1,4}:"), "mac": re.compile("[0-9A-Fa-f]{2}[:-]")}
 DIGIT = re.compile(r"\d")
 FOUND = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: A text with none of these has no entity. They are kept cheap, since every text is searched for them: one class of
-#: rare characters, a few plain strings, and two capitalised words or a title in a row.
-RARE, PLAIN = r"[@0-9:=]", ("AKIA", "sk-", "xox", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
-CAPITALS = r"(?:\p{Lu}[\p{L}’'-]{1,12}|(?:M[rsx]|Mrs|Mme|Mlle|Dr|Prof|Sr|Sra|Srta)\.) \p{Lu}"
+#: rare characters, a few plain strings, and a capitalised word or a title before a word that may be a name.
+RARE, PLAIN = r"[@:=\p{Nd}]", ("AKIA", "sk-", "xox", "eyJ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", *AFTER, *(t for ts in TITLES.values() for t in ts if unicodedata.category(t[0]) == "Lo"))
+CAPITALS = rf"(?:\p{{Lu}}[\p{{L}}’'-]{{1,12}}|(?:{'|'.join(sorted(DOTTED))})\.) [\p{{IsUppercase}}\p{{Lo}}]"
 
 
 def hint(text: Column) -> Column:
@@ -104,8 +118,29 @@ GENDER = {n: g for g, ns in (("f", FEMALE), ("m", MALE)) for names in ns.values(
 
 
 def script_of(text: str) -> str:
+    """The script of a text's first letter: latin, cyrillic or greek, of which there are names, or other."""
     c = next((c for c in text if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
+    if "Ѐ" <= c <= "ӿ":
+        return "cyrillic"
+    if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿":
+        return "greek"
+    return "latin" if c < "ʰ" or "Ḁ" <= c <= "ỿ" else "other"
+
+
+@functools.cache
+def letters_like(c: str) -> str:
+    """Letters of a letter's script and case: of its alphabet, or else of the same kind in its 128 code points (Han: 2048)."""
+    lower = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}.get(script_of(c))
+    if lower:
+        return lower.upper() if c.isupper() else lower
+    wide = 2048 if "\u3400" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" else 128
+    begin = ord(c) // wide * wide
+    return "".join(x for x in map(chr, range(begin, begin + wide)) if unicodedata.category(x) == unicodedata.category(c)) or c
+
+
+def ascii_digits(text: str) -> str:
+    """Digits alone, of any script, as those of ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
 def luhn(digits: str) -> bool:
@@ -119,7 +154,7 @@ def luhn(digits: str) -> bool:
 def canonical(kind: str, value: str) -> str:
     """One form for all mentions of an entity."""
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", value)
+        return ascii_digits(value)
     if kind == "iban":
         return value.replace(" ", "")
     if kind == "mac":
@@ -165,7 +200,8 @@ def people(text: str) -> list[tuple[int, int, str, str]]:
             continue
         gender = next(g for g, ts in TITLES.items() if m[1] in ts)
         names = [(w.start() + m.start(2), w.end() + m.start(2), w.group()) for w in re.finditer(WORD, m[2])]
-        names = [n for i, n in enumerate(names) if n[2][0].isupper() and (i == 0 or names[0][2][0].isupper())]
+        # a script without case has no other sign of a name; there only the first word counts
+        names = [n for i, n in enumerate(names) if n[2][0].isupper() and (i == 0 or names[0][2][0].isupper()) or i == 0 and unicodedata.category(n[2][0]) == "Lo"]
         if not names or (m[1] in ("Don", "Sir", "Lady", "Doña", "Sr", "Miss") and len(names[0][2]) < 3):
             continue
         if len(names) == 2:
@@ -177,6 +213,16 @@ def people(text: str) -> list[tuple[int, int, str, str]]:
         if m[2][0].isupper() and m[2][1:].islower():
             parts.setdefault(m[1], f"given_{GENDER[m[1]]}")
             parts.setdefault(m[2], "surname")
+    for m in GREETED.finditer(text):
+        if all(w[0].isupper() and w[1:].islower() for w in (m[2], m[3])):
+            gender = next(g for g, words in GREETINGS.items() if m[1] in words)
+            parts.setdefault(m[2], f"given_{GENDER.get(m[2], gender)}")
+            parts.setdefault(m[3], "surname")
+    for m in HAN.finditer(text):
+        parts.setdefault(m[1][0], "surname")
+        out.append((m.start(1), m.start(1) + 1, "surname", m[1][0]))
+        out.append((m.start(1) + 1, m.end(1), f"given_{AFTER[m[2]]}", m[1][1:]))
+        parts.pop(m[1][0])
     if parts:
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)", text):
             out.append((m.start(), m.end(), parts[m.group()], m.group()))
@@ -208,12 +254,10 @@ def shaped(draw: Draw, text: str, hexadecimal: bool = False) -> str:
             out.append(draw.pick("0123456789abcdef"))
         elif hexadecimal and c in "ABCDEF":
             out.append(draw.pick("0123456789ABCDEF"))
-        elif c.isdigit():
-            out.append(str(draw.below(10)))
+        elif c.isdecimal():
+            out.append(chr(ord(c) - unicodedata.decimal(c) + draw.below(10)))
         elif c.isalpha():
-            letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}[script_of(c)]
-            new = draw.pick(letters)
-            out.append(new.upper() if c.isupper() else new)
+            out.append(draw.pick(letters_like(c)))
         else:
             out.append(c)
     return "".join(out)
@@ -245,13 +289,15 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
         return str(900 + draw.below(100)) + shaped(draw, form[3:])
     if kind == "iban":
         return form[:2] + shaped(draw, form[2:])
+    if (kind.startswith("given_") or kind == "surname") and script_of(form) == "other":
+        return shaped(draw, form) + shaped(draw, form[:1] * extra)
     if kind.startswith("given_"):
-        script = script_of(form)
-        names = {"f": FEMALE[script], "m": MALE[script]}.get(kind[-1], FEMALE[script] + MALE[script])
-        name = draw.pick(names)
-        for _ in range(min(attempt, 1) + extra):  # the list is short: later draws are double names
-            name += "-" + draw.pick(names)
-        return name
+        script, gender = script_of(form), kind[-1]
+        names = {"f": FEMALE[script], "m": MALE[script]}.get(gender, FEMALE[script] + MALE[script])
+        if attempt < 2:  # the list is short: a second draw is a double name, later ones are made of syllables
+            return "-".join([draw.pick(names) for _ in range(1 + attempt)])
+        gender = gender if gender in GIVEN_ENDINGS else draw.pick("fm")
+        return "".join(draw.pick(SYLLABLES[script]) for _ in range(2 + attempt // 2)).capitalize() + GIVEN_ENDINGS[gender][script]
     if kind == "surname":
         script = script_of(form)
         return "".join(draw.pick(SYLLABLES[script]) for _ in range(2 + draw.below(2) + extra)).capitalize() + draw.pick(ENDINGS[script])
@@ -261,7 +307,9 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
 def rendered(kind: str, mention: str, new: str) -> str:
     """A surrogate in the case and with the separators of a mention."""
     if kind in ("phone", "card", "ssn", "iban"):
-        rest = iter(new)
+        rest, zero = iter(new), next((ord(c) - unicodedata.decimal(c) for c in mention if c.isdecimal()), 48)
+        if zero != 48:
+            rest = iter([chr(zero + int(c)) if c.isdecimal() else c for c in new])
         return "".join(next(rest, "") if c.isalnum() else c for c in mention) + "".join(rest)
     if kind == "mac" and "-" in mention:
         new = new.replace(":", "-")
@@ -275,9 +323,9 @@ def occurrences(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = {(m, k, canonical(k, v)) for m, t in zip(frame["mark"].tolist(), frame["text"].tolist(), strict=True) for _, _, k, v in mentions(t)}
-            yield pd.DataFrame(sorted(out), columns=["mark", "kind", "form"]).astype({"mark": "int64"})
+            yield pd.DataFrame(sorted(out), columns=["mark", "kind", "form"])
 
-    return texts.mapInPandas(run, "mark long, kind string, form string").distinct()
+    return texts.mapInPandas(run, "mark string, kind string, form string").distinct()
 
 
 def assigned(entities: DataFrame, key: bytes) -> DataFrame:
@@ -293,19 +341,19 @@ def assigned(entities: DataFrame, key: bytes) -> DataFrame:
                 yield frame.assign(surrogate=[surrogate(key, k, f, attempt) for k, f in zip(frame["kind"], frame["form"], strict=True)])
         return run
 
-    entities = entities.select("kind", "form", group.alias("pool"))
-    real = entities.select("pool", F.col("form").alias("surrogate"), F.lit(1).alias("taken"))
-    open_, done, attempt = entities, None, 0
+    open_ = entities.select("kind", "form", group.alias("pool"))
+    real = open_.select("pool", F.col("form").alias("surrogate"))
+    done, attempt = None, 0
     while True:
         tried = saved(open_.mapInPandas(draw(attempt), "kind string, form string, pool string, surrogate string"))
-        used = real if done is None else real.union(done.select("pool", "surrogate", F.lit(1).alias("taken")))
-        first = Window.partitionBy("pool", "surrogate").orderBy("form", "kind")
-        marked = tried.withColumn("place", F.row_number().over(first)).join(used.distinct(), ["pool", "surrogate"], "left")
-        marked = saved(marked.withColumn("ok", (F.col("place") == 1) & F.col("taken").isNull()))
-        good = marked.filter("ok").select("kind", "form", "pool", "surrogate")
-        done = good if done is None else done.union(good)
-        open_ = marked.filter(~F.col("ok")).select("kind", "form", "pool")
-        attempt += 1
+        first = tried.groupBy("pool", "surrogate").agg(F.min(F.struct("form", "kind")).alias("first"))
+        used = real if done is None else real.union(done.select("pool", "surrogate"))
+        good = first.join(used, ["pool", "surrogate"], "left_anti").select("first.kind", "first.form", "pool", "surrogate")
+        before, done = done, saved(good if done is None else done.union(good))
+        open_ = tried.join(done.select("kind", "form"), ["kind", "form"], "left_anti").select("kind", "form", "pool")
+        if before is not None:
+            discard(before, held)
+        held, attempt = tried, attempt + 1
         if not open_.limit(1).count():
             return done.select("kind", "form", "surrogate")
 
@@ -316,7 +364,7 @@ def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     mark, found, salt = fresh(docs, "_mark", "_found", "_salt")
     cols = [F.col(f"`{c}`") for c in docs.columns]
     hit = hint(F.col(f"`{text}`"))
-    some = saved(docs.filter(hit).withColumn(mark, F.xxhash64(F.col(f"`{text}`"))))
+    some = saved(docs.filter(hit).withColumn(mark, F.md5(F.col(f"`{text}`"))))
     own = saved(occurrences(some.select(F.col(mark).alias("mark"), F.col(f"`{text}`").alias("text"))))
     table = saved(assigned(saved(own.select("kind", "form").distinct()), key))
     own = own.withColumn(salt, salt_of(SALTS, "mark")).join(salted(table, SALTS, salt), ["kind", "form", salt])
@@ -332,7 +380,8 @@ def replace_pii(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 continue
             new, parts, at = dict(zip(f, n, strict=True)), [], 0
             for start, end, kind, value in mentions(t):
-                parts += [t[at:start], rendered(kind, value, new[f"{kind}\0{canonical(kind, value)}"])]
+                form = canonical(kind, value)
+                parts += [t[at:start], rendered(kind, value, new.get(f"{kind}\0{form}") or surrogate(key, kind, form, 0))]
                 at = end
             out.append("".join(parts) + t[at:])
         return pd.Series(out, dtype=object)
