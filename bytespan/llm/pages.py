@@ -35,7 +35,7 @@ import hashlib
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -72,7 +72,9 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }  # what an opening tag closes, and what it doesn't look beyond
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag, its quotes closed or else up to the next ">".
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^"'>]|"[^"]*"|'[^']*')*+)>|([^>]*)>)""")
+RAW_ENDS = {tag: re.compile(rf"</{tag}\s*/?>", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -81,10 +83,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its tag, attributes and what it holds, texts or elements."""
 
-    __slots__ = ("attrs", "hash", "holds", "tag")
+    __slots__ = ("attrs", "hash", "has_article", "holds", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.holds, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.holds, self.hash, self.has_article = tag, attrs, [], 0, False
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -95,64 +97,102 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+class Open:
+    """The open elements, innermost last, and where those of each name stand, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks, self.solid = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCK:
+            self.blocks.append(at)
+            if node.tag != "p":
+                self.solid.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        del self.stack[at:]
+        for held in (self.blocks, self.solid):
+            while held[-1] >= at:
+                held.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; texts are decoded already."""
+    """The tree of a page, in one pass; texts are decoded already."""
     root = Node("#root", {})
-    stack, at = [root], 0
+    open_, at, pos, no_cdata = Open(root), 0, 0, False
+    stack = open_.stack
 
     def text(upto: int) -> None:
         if upto > at:
             part = page[at:upto]
             stack[-1].holds.append(html.unescape(part) if "&" in part else part)
 
-    pos = 0
-    while found := TAG.search(page, pos):
-        text(found.start())
-        at = pos = found.end()
-        tag = found[2] or found[5]
-        if tag is None:
-            if found[0].startswith("<![CDATA["):
-                stack[-1].holds.append(found[0][9:-3])
+    while (begin := page.find("<", pos)) >= 0:
+        if page.startswith("<!--", begin):
+            text(begin)
+            end = page.find("-->", begin + 4)
+            at = pos = end + 3 if end >= 0 else len(page)
+            continue
+        if not no_cdata and page.startswith("<![CDATA[", begin):
+            end = page.find("]]>", begin + 9)
+            no_cdata = end < 0
+            if not no_cdata:
+                text(begin)
+                stack[-1].holds.append(page[begin + 9 : end])
+                at = pos = end + 3
+                continue
+        close = page.find(">", begin)
+        if close < 0:
+            break  # no tag ends any more
+        if page[begin + 1] in "!?":
+            text(begin)
+            at = pos = close + 1
             continue
-        tag = tag.lower()
-        if found[1] or found[4]:  # a closing tag
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # a stray inline tag closes no block
+        found = TAG.match(page, begin)
+        if not found:
+            pos = begin + 1
             continue
-        closes, limit = CLOSES.get(tag, CLOSES["p"] if tag in BLOCK else (set(), set()))
-        if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in limit:
-                    break
-        rest = found[3] if found[2] else found[6]
+        text(begin)
+        at = pos = found.end()
+        tag = found[2].lower()
+        if found[1]:  # a closing tag
+            place = open_.last((tag,))
+            if place and (tag in BLOCK or open_.blocks[-1] < place):  # a stray inline tag closes no block
+                open_.cut(place)
+            continue
+        closes, limit = CLOSES.get(tag, CLOSES["p"] if tag in BLOCK else (frozenset(), frozenset()))
+        if closes and (place := open_.last(closes)) > (open_.solid[-1] if limit is CLOSES["p"][1] else open_.last(limit)):
+            open_.cut(place)
+        rest = found[3] if found[3] is not None else found[4]
         node = Node(tag, attributes(rest) if rest and not rest.isspace() else {})
         stack[-1].holds.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, pos)
+            end = RAW_ENDS[tag].search(page, pos)
             at = pos = end.end() if end else len(page)
             continue
-        stack.append(node)
+        open_.push(node)
     text(len(page))
     return root
 
 
-def has_article(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        if n.tag in ("article", "main"):
-            return True
-        todo += [c for c in n.holds if type(c) is Node]
-    return False
+def mark_articles(node: Node) -> bool:
+    """Note for every element whether it is or holds an article or main element; depth is bounded by deep_safe()."""
+    node.has_article = node.tag in ("article", "main")
+    for c in node.holds:
+        if type(c) is Node and mark_articles(c):
+            node.has_article = True
+    return node.has_article
 
 
 def declared(node: Node, inside: bool) -> bool:
@@ -196,7 +236,7 @@ def outside(root: Node) -> Iterator[Node]:
         n = todo.pop()
         if n.tag in ("article", "main"):
             continue
-        if n.tag in BLOCK and n.tag not in ("html", "body") and not has_article(n):
+        if n.tag in BLOCK and n.tag not in ("html", "body") and not n.has_article:
             yield n
         todo += [c for c in n.holds if type(c) is Node]
 
@@ -219,6 +259,7 @@ def deep_safe(page: str | None) -> Node:
             n.holds = flat
             continue
         todo += [(c, d + 1) for c in n.holds if type(c) is Node]
+    mark_articles(root)
     return root
 
 
@@ -277,7 +318,6 @@ def read_blocks(root: Node, template: frozenset[int] | set[int]) -> list[str]:
     """The texts of the blocks that stay, in page order: of articles if they hold half of the text, else of the body."""
     blocks: list[tuple[str, bool]] = []
     run: list[str] = []
-    some_article = has_article(root)
 
     def end(inside: bool) -> None:
         if run and (folded := " ".join("".join(run).split())):
@@ -285,7 +325,7 @@ def read_blocks(root: Node, template: frozenset[int] | set[int]) -> list[str]:
         run.clear()
 
     def walk(node: Node, inside: bool) -> None:
-        holds_article = not inside and some_article and has_article(node)
+        holds_article = not inside and node.has_article
         if not holds_article or node.tag in DROPPED:
             known = in_article(node.hash) in template and node.tag in BOX if inside else node.hash in template and node.tag in BLOCK
             if known or declared(node, inside):

@@ -576,3 +576,23 @@ def test_copies_leave_their_group_a_spread(spark):
     rows += rows[:1] * 300
     docs = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
     assert rules.keep_quality(docs).count() >= 495
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000 + "</i>" * 20000, "<a " * 20000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000, "<b>" * 20000 + "<hr>" * 20000, "<![CDATA[>" * 20000, "<a '>" * 20000, "<!--" * 20000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    begun = time.process_time()
+    pages.main_text(page, {1})
+    pages.subtree_hashes(page)
+    assert time.process_time() - begun < 10
+
+
+def test_pages_edge_cases(spark):
+    """Empty tables, extra columns of clashing names, repeated rows, very long pages."""
+    schema = "page_id long, url string, html string, host string, text string, hash long"
+    long = "<article>" + "".join(f"<p>line {i}</p>" for i in range(30000)) + "</article>"
+    rows = [(1, "http://a/", "<p>x</p>", "h", "t", 1)] * 2 + [(2, "http://a/", long, None, None, None), (None, None, "", "h", "t", 1)]
+    got = sorted((r["page_id"] or 0, r["text"]) for r in pages.extract(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, ""), (1, "x"), (1, "x"), (2, " ".join(f"line {i}" for i in range(30000)))]
+    assert pages.extract(spark.createDataFrame([], schema)).collect() == []
