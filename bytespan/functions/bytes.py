@@ -19,10 +19,27 @@ def byte_array(data: Column | str) -> Column:
 def blocks(blobs: DataFrame, size: int = BLOCK) -> DataFrame:
     """(doc_id, block, chunk, n): windows of size bytes, the last one shorter; an empty blob has none."""
     length = F.octet_length("data")
-    starts = F.sequence(F.lit(0).cast("long"), F.floor((length - 1) / size).cast("long"))
-    rows = blobs.filter(length > 0).select("doc_id", "data", F.explode(starts).alias("block"))
-    chunk = F.substring(F.col("data"), (F.col("block") * size + 1).cast("int"), F.lit(size))
-    return rows.select("doc_id", "block", chunk.alias("chunk")).withColumn("n", F.octet_length("chunk").cast("long"))
+    # chunks are cut before the explode, so that no row of a block carries the blob
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((length - 1) / size).cast("int")), lambda k: F.substring(F.col("data"), k * size + 1, F.lit(size)))
+    rows = blobs.filter(length > 0).select("doc_id", F.posexplode(chunks).alias("block", "chunk"))
+    return rows.select("doc_id", F.col("block").cast("long").alias("block"), "chunk", F.octet_length("chunk").cast("long").alias("n"))
+
+
+#: Bytes of a blob whose windows are formed at once: no row ever holds all windows of a large blob.
+SLICE = 1 << 16
+
+
+def windows(blobs: DataFrame, order: int) -> DataFrame:
+    """(doc_id, p, key): for every byte, at place p from 0, the order bytes before it (zeros before the start) and itself.
+
+    A blob is first cut into slices that overlap by order bytes; blobs are dealt out once by id."""
+    n = F.octet_length("data")
+    padded = F.concat(F.unhex(F.lit("00" * order)), F.col("data")) if order else F.col("data")
+    rows = blobs.filter(n > 0).repartition("doc_id").select("doc_id", padded.alias("d"), n.alias("n"))
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SLICE).cast("int")), lambda k: F.substring(F.col("d"), k * SLICE + 1, F.lit(SLICE + order)))
+    rows = rows.select("doc_id", F.posexplode(slices).alias("k", "s"))
+    keys = F.transform(F.sequence(F.lit(1), F.octet_length("s") - order), lambda p: F.substring(F.col("s"), p, F.lit(order + 1)))
+    return rows.select("doc_id", "k", F.posexplode(keys).alias("p", "key")).select("doc_id", (F.col("k").cast("long") * SLICE + F.col("p")).alias("p"), "key")
 
 
 def delta(array: Column, stride: int = 1) -> Column:

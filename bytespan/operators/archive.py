@@ -17,6 +17,8 @@ from bytespan.registry import query
 from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, document_blobs, mixed_blobs, table
 
 PART = 1 << 16
+#: Ids in a range whose members' sizes are summed by one task.
+RANGE = 1 << 16
 MEMBERS_SQL = f"""members AS (SELECT source AS archive, doc_id, lang || '/' || doc_id AS name, hex(encode(coalesce(text, ''))) AS h FROM documents),
 catalog AS (SELECT archive, doc_id, name, h, length(h) // 2 AS size, CAST(coalesce(sum(length(h) // 2) OVER (PARTITION BY archive ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
   CAST(row_number() OVER (PARTITION BY archive ORDER BY doc_id) - 1 AS INT) AS ordinal FROM members)"""
@@ -29,11 +31,20 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog(found: DataFrame) -> DataFrame:
-    """(archive, ordinal, doc_id, name, size, offset): offsets are running sums of sizes; payloads are not read."""
-    order = Window.partitionBy("archive").orderBy("doc_id")
-    rows = found.select("archive", "doc_id", "name", F.octet_length("data").cast("long").alias("size"))
+    """(archive, ordinal, doc_id, name, size, offset): offsets are running sums of sizes; payloads are not read.
+
+    Sums are taken in two levels, so that an archive of any number of members is no task's alone: ids are cut into
+    ranges of RANGE, of which the sums run over the ranges of an archive, and the members of each range are summed by
+    themselves."""
+    rows = found.select("archive", "doc_id", "name", F.octet_length("data").cast("long").alias("size")).withColumn("range", F.floor(F.col("doc_id") / RANGE))
+    ranges = Window.partitionBy("archive").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("archive", "range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    before = lambda c: F.coalesce(F.sum(c).over(ranges), F.lit(0))
+    sums = sums.select("archive", "range", before("n").alias("n_before"), before("bytes").alias("bytes_before"))
+    order = Window.partitionBy("archive", "range").orderBy("doc_id")
     offset = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("archive", (F.row_number().over(order) - 1).alias("ordinal"), "doc_id", "name", "size", offset.alias("offset"))
+    rows = rows.select("archive", "range", "doc_id", "name", "size", (F.row_number().over(order) - 1).alias("i"), offset.alias("o")).join(sums, ["archive", "range"])
+    return rows.select("archive", (F.col("n_before") + F.col("i")).cast("int").alias("ordinal"), "doc_id", "name", "size", (F.col("bytes_before") + F.col("o")).alias("offset"))
 
 
 @query(f'WITH {MEMBERS_SQL} SELECT archive, ordinal, doc_id, "offset" FROM catalog')
@@ -80,7 +91,7 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("archive", "name", "size", F.sha2("cut", 256).alias("digest"), (F.col("cut") == F.col("data")).alias("same"))
 
 
-@query(f"""WITH {CLASSIFIED_SQL}, {GAINS_SQL}, tags AS (SELECT c.doc_id, passthrough, use_transform AND coalesce(round(g.gain, 6) > {COST_BITS}, false) AS moved FROM classes c LEFT JOIN gains g ON c.doc_id = g.doc_id AND c.block = g.block AND g.tag = 1)
+@query(f"""WITH {CLASSIFIED_SQL}, {GAINS_SQL}, tags AS (SELECT c.doc_id, passthrough, use_transform AND coalesce(g.gain > {COST_BITS}, false) AS moved FROM classes c LEFT JOIN gains g ON c.doc_id = g.doc_id AND c.block = g.block AND g.tag = 1)
 SELECT doc_id, count(*) AS n_blocks, CASE WHEN bool_or(passthrough) THEN 1 ELSE 0 END + CASE WHEN bool_or(moved) THEN 2 ELSE 0 END AS flags FROM tags GROUP BY doc_id""")
 def archive_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flags that each blob's header gets: 1 something is stored as it is, 2 something is transformed."""

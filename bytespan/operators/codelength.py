@@ -13,20 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytespan.functions.bytes import lgamma2
+from bytespan.functions.bytes import lgamma2, windows
 from bytespan.operators.profile import byte_counts
 from bytespan.registry import query
-from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, document_blobs
+from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, document_blobs, table
 
 
 def context_pairs(blobs: DataFrame, order: int) -> DataFrame:
     """(doc_id, key): for every byte the order bytes before it (zeros before the start) and itself, as binary."""
-    padded = F.concat(F.unhex(F.lit("00" * order)), F.col("data")) if order else F.col("data")
-    n = F.octet_length("data")
-    rows = blobs.filter(n > 0).repartition("doc_id").select("doc_id", padded.alias("d"), n.alias("n"))
-    # slices are taken before the explode, so rows don't carry the blob
-    keys = F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.substring(F.col("d"), p, F.lit(order + 1)))
-    return rows.select("doc_id", F.explode(keys).alias("key"))
+    return windows(blobs, order).select("doc_id", "key")
 
 
 def code_length(pairs: DataFrame, context: Column) -> DataFrame:
@@ -78,44 +73,80 @@ def order5_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_n(spark, sf_dir, 5)
 
 
-@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, w1 AS (SELECT doc_id, b, p, lag(b, 1, '00') OVER (PARTITION BY doc_id ORDER BY p) AS c FROM positions WHERE p <= 2048),
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, w1 AS (SELECT doc_id, b, p, lag(b, 1, '00') OVER (PARTITION BY doc_id ORDER BY p) AS c FROM positions),
 t AS (SELECT doc_id, p, ln((count(*) OVER (PARTITION BY doc_id, c, b ORDER BY p) - 1 + 1.0) / (count(*) OVER (PARTITION BY doc_id, c ORDER BY p) - 1 + 256.0)) AS l1,
   ln((count(*) OVER (PARTITION BY doc_id, b ORDER BY p) - 1 + 1.0) / (p - 1 + 256.0)) AS l0 FROM w1)
 SELECT doc_id, count(*) AS n_bytes, round(-sum(l0) / ln(2), 3) AS order0_bits, round(-sum(l1) / ln(2), 3) AS order1_bits,
 round(-sum(ln(0.5 * exp(l0) + 0.5 * exp(l1))) / ln(2), 3) AS mixed_bits FROM t GROUP BY doc_id""")
 def ablation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 2048 bytes of each document (as its SQL; a cut of this query, not of the reference): bits under order 0, order 1, and an even mixture byte by byte."""
-    t = per_byte(document_blobs(spark, sf_dir), 2048)
+    """Bits of each whole document under order 0, order 1, and an even mixture byte by byte."""
+    t = per_byte(document_blobs(spark, sf_dir))
     bits = lambda x: F.round(-F.sum(x) / F.lit(0.6931471805599453), 3)
     mix = F.log(0.5 * F.exp("l0") + 0.5 * F.exp("l1"))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_bytes"), bits(F.col("l0")).alias("order0_bits"), bits(F.col("l1")).alias("order1_bits"), bits(mix).alias("mixed_bits"))
 
 
-def per_byte(blobs: DataFrame, most: int) -> DataFrame:
-    """(doc_id, p, l0, l1): natural logarithms of what orders 0 and 1 predict for each of the first most bytes.
+def per_byte(blobs: DataFrame) -> DataFrame:
+    """(doc_id, p, l0, l1): natural logarithms of what orders 0 and 1 predict for each byte.
 
     The value at every byte is wanted, so counts seen so far are windows over what each document holds."""
-    head = blobs.select("doc_id", F.substring("data", 1, most).alias("data"))
-    n = F.octet_length("data")
-    rows = head.filter(n > 0).repartition("doc_id").select("doc_id", F.concat(F.unhex(F.lit("00")), F.col("data")).alias("d"), n.alias("n"))
-    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.substring(F.col("d"), p, F.lit(2)))).alias("p", "key"))
-    rows = rows.select("doc_id", "p", F.substring("key", 1, 1).alias("c"), F.substring("key", 2, 1).alias("b"))
+    rows = windows(blobs, 1).select("doc_id", "p", F.substring("key", 1, 1).alias("c"), F.substring("key", 2, 1).alias("b"))
     seen = lambda *by: (F.row_number().over(Window.partitionBy("doc_id", *by).orderBy("p")) - 1).cast("double")
     l1 = F.log((seen("c", "b") + 1) / (seen("c") + 256))
     l0 = F.log((seen("b") + 1) / (F.col("p") + 256.0))
     return rows.select("doc_id", "p", l0.alias("l0"), l1.alias("l1"))
 
 
-@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, n AS (SELECT b, count(*) AS c FROM positions GROUP BY b), m AS (SELECT b, count(*) AS c FROM positions WHERE p <= 256 GROUP BY b),
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, n AS (SELECT b, count(*) AS c FROM positions GROUP BY b),
+m AS (SELECT b, count(*) AS c FROM (SELECT unnest(regexp_extract_all(hex(encode(coalesce(html, ''))), '..')) AS b FROM pages) GROUP BY b),
 p AS (SELECT n.b, n.c / sum(n.c) OVER () AS p, (coalesce(m.c, 0) + 1.0) / (sum(coalesce(m.c, 0) + 1) OVER ()) AS q FROM n LEFT JOIN m ON n.b = m.b),
 g AS (SELECT b, exp(0.75 * ln(p) + 0.25 * ln(q)) AS g FROM p) SELECT b AS byte, round(g / sum(g) OVER (), 9) AS blended FROM g""")
 def blend_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted geometric mean of two byte distributions, of whole documents (3/4) and of their first 256 bytes (1/4), renormalised."""
-    blobs = document_blobs(spark, sf_dir)
-    n = byte_counts(blobs).withColumnRenamed("n", "c")
-    m = byte_counts(blobs.select("doc_id", F.substring("data", 1, 256).alias("data"))).withColumnRenamed("n", "d")
+    """Weighted geometric mean of two byte distributions, of all documents (3/4) and of all pages (1/4), renormalised."""
+    n = byte_counts(document_blobs(spark, sf_dir)).withColumnRenamed("n", "c")
+    html = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data"))
+    m = byte_counts(html).withColumnRenamed("n", "d")
     rows = n.join(m, "b", "left").withColumn("d", F.coalesce("d", F.lit(0)) + 1)  # 256 rows at most
     total = rows.agg(F.sum("c").alias("tc"), F.sum("d").alias("td"))
     rows = rows.crossJoin(F.broadcast(total)).withColumn("g", F.exp(0.75 * F.log(F.col("c") / F.col("tc")) + 0.25 * F.log(F.col("d") / F.col("td"))))
     whole = rows.agg(F.sum("g").alias("tg"))
     return rows.crossJoin(F.broadcast(whole)).select(F.lpad(F.hex(F.col("b").cast("long")), 2, "0").alias("byte"), F.round(F.col("g") / F.col("tg"), 9).alias("blended"))
+
+
+#: The context bytes of the model that mutual code lengths are taken under.
+MUTUAL_ORDER = 2
+
+
+def mutual_code_length(blobs: DataFrame, pairs: DataFrame, order: int = MUTUAL_ORDER) -> DataFrame:
+    """(a, b, bits_a, bits_b, bits_both, distance) of stated pairs (a, b) of ids: how many bits an adaptive model saves on
+    both blobs together. distance = (both - least) / most is near 0 for copies and near 1 for blobs with nothing in common.
+
+    The model doesn't depend on the order of bytes, so the counts of both are the sum of each one's: blobs are read once and
+    pairs join counts, never texts."""
+    counts = windows(blobs, order).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+
+    def bits(rows: DataFrame, *by: str) -> DataFrame:
+        by_context = rows.groupBy(*by, F.substring("key", 1, order).alias("context")).agg(F.sum("n").alias("total"), F.sum(lgamma2(F.col("n").cast("double") + 1)).alias("inner"))
+        return by_context.groupBy(*by).agg(F.sum(lgamma2(F.col("total").cast("double") + 256) - lgamma2(F.lit(256.0)) - F.col("inner")).alias("bits"))
+
+    alone = bits(counts, "doc_id")
+    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("doc_id"))
+    both = sides.join(counts, "doc_id").groupBy("a", "b", "key").agg(F.sum("n").alias("n"))
+    out = bits(both, "a", "b").withColumnRenamed("bits", "bits_both")
+    for side in ("a", "b"):
+        out = out.join(alone.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+    least, most = F.least("bits_a", "bits_b"), F.greatest("bits_a", "bits_b")
+    return out.select("a", "b", "bits_a", "bits_b", "bits_both", ((F.col("bits_both") - least) / most).alias("distance"))
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, pairs AS (SELECT doc_id, b, lag(b, 2, '00') OVER w || lag(b, 1, '00') OVER w AS ctx FROM positions WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+c AS (SELECT doc_id, ctx, b, count(*) AS n FROM pairs GROUP BY ALL), asked AS (SELECT doc_id AS a, doc_id + 1 AS z FROM documents WHERE doc_id % 2 = 0),
+j AS (SELECT a, z, ctx, c.b, sum(n) AS n FROM asked JOIN c ON c.doc_id IN (a, z) GROUP BY ALL),
+jb AS (SELECT a, z, sum(x) / ln(2) AS bits FROM (SELECT a, z, lgamma(sum(n) + 256.0) - lgamma(256.0) - sum(lgamma(n + 1.0)) AS x FROM j GROUP BY a, z, ctx) GROUP BY a, z),
+ob AS (SELECT doc_id, sum(x) / ln(2) AS bits FROM (SELECT doc_id, lgamma(sum(n) + 256.0) - lgamma(256.0) - sum(lgamma(n + 1.0)) AS x FROM c GROUP BY doc_id, ctx) GROUP BY doc_id)
+SELECT jb.a, jb.z AS b, round(x.bits, 2) AS bits_a, round(y.bits, 2) AS bits_b, round(jb.bits, 2) AS bits_both, round((jb.bits - least(x.bits, y.bits)) / greatest(x.bits, y.bits), 5) AS distance FROM jb JOIN ob x ON jb.a = x.doc_id JOIN ob y ON jb.z = y.doc_id""")
+def mutual_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extension) Distances by mutual code length of each document of even id and the next."""
+    pairs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).distinct()
+    out = mutual_code_length(document_blobs(spark, sf_dir), pairs)
+    return out.select("a", "b", *[F.round(c, 2).alias(c) for c in ("bits_a", "bits_b", "bits_both")], F.round("distance", 5).alias("distance"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytespan.functions.bytes import lgamma2
+from bytespan.functions.bytes import lgamma2, windows
 from bytespan.functions.workers import ship
 from bytespan.operators.codelength import LENGTH_SQL, POSITIONS_SQL, context_pairs
 from bytespan.registry import query
@@ -103,11 +104,7 @@ def indirect_context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indirect_hits(blobs: DataFrame, n: int) -> DataFrame:
-    padded = F.concat(F.unhex(F.lit("00" * n)), F.col("data"))
-    size = F.octet_length("data")
-    rows = blobs.filter(size > 0).repartition("doc_id").select("doc_id", padded.alias("d"), size.alias("size"))
-    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda p: F.substring(F.col("d"), p, F.lit(n + 1)))).alias("p", "key"))
-    rows = rows.select("doc_id", "p", F.substring("key", 1, n).alias("ctx"), F.substring("key", n + 1, 1).alias("b"))
+    rows = windows(blobs, n).select("doc_id", "p", F.substring("key", 1, n).alias("ctx"), F.substring("key", n + 1, 1).alias("b"))
     rows = rows.withColumn("before", F.lag("b").over(Window.partitionBy("doc_id", "ctx").orderBy("p")))
     out = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("before").alias("n_seen"), F.count(F.when(F.col("before") == F.col("b"), 1)).alias("n_hits"))
     return out.select(F.lit(n).alias("context_bytes"), "doc_id", "n", "n_seen", "n_hits")
@@ -154,58 +151,84 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The hash of four bytes, and its number of slots (fixed values).
 HASH_PRIME, SLOTS = 2654435761, 1 << 20
+#: How far back a match may lie, and the probability that its byte gets (fixed values); the others share the rest.
+MATCH_WINDOW, MATCH_SURE = 1 << 23, 0.9
 VALUES_SQL = "vals AS (SELECT doc_id, p, ('0x' || b)::BIGINT AS b FROM positions)"
 SLOT_SQL = f"""slots AS (SELECT doc_id, p, b, CASE WHEN p >= 5 THEN ((xor(xor(xor(lag(b, 4) OVER w, lag(b, 3) OVER w << 3), lag(b, 2) OVER w << 7), lag(b, 1) OVER w << 13) * {HASH_PRIME}) & {SLOTS - 1}) END AS slot
   FROM vals WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-guess AS (SELECT doc_id, p, b, slot, lag(b) OVER (PARTITION BY doc_id, slot ORDER BY p) AS guess, lag(p) OVER (PARTITION BY doc_id, slot ORDER BY p) AS q FROM slots WHERE slot IS NOT NULL)"""
+before AS (SELECT doc_id, p, b, slot, lag(b) OVER (PARTITION BY doc_id, slot ORDER BY p) AS guess, lag(p) OVER (PARTITION BY doc_id, slot ORDER BY p) AS q FROM slots WHERE slot IS NOT NULL),
+guess AS (SELECT doc_id, p, b, slot, CASE WHEN p - q <= {MATCH_WINDOW} THEN guess END AS guess, CASE WHEN p - q <= {MATCH_WINDOW} THEN q END AS q FROM before)"""
+MATCH_BITS = (-math.log2(MATCH_SURE + (1 - MATCH_SURE) / 255), -math.log2((1 - MATCH_SURE) / 255))
 
 
 def match_guesses(blobs: DataFrame) -> DataFrame:
     """(doc_id, p, b, slot, guess, q): for each byte after the fourth, what followed the last place with the same hash of
     four bytes, and where. The slot is looked up before it is overwritten."""
-    n = F.octet_length("data")
-    rows = blobs.filter(n > 4).repartition("doc_id")
-    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), n - 4), lambda p: F.substring(F.col("data"), p, F.lit(5)))).alias("p", "key"))
+    rows = windows(blobs, 4).filter("p >= 4")
     value = lambda k: F.conv(F.hex(F.substring("key", k, 1)), 16, 10).cast("long")
     v = value(1).bitwiseXOR(F.shiftleft(value(2), 3)).bitwiseXOR(F.shiftleft(value(3), 7)).bitwiseXOR(F.shiftleft(value(4), 13))
-    rows = rows.select("doc_id", (F.col("p") + 5).cast("long").alias("p"), value(5).alias("b"), (v * F.lit(HASH_PRIME)).bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    rows = rows.select("doc_id", (F.col("p") + 1).alias("p"), value(5).alias("b"), (v * F.lit(HASH_PRIME)).bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
     last = Window.partitionBy("doc_id", "slot").orderBy("p")
-    return rows.withColumn("guess", F.lag("b").over(last)).withColumn("q", F.lag("p").over(last))
+    near = (F.col("p") - F.lag("p").over(last)) <= MATCH_WINDOW
+    return rows.select("*", F.when(near, F.lag("b").over(last)).alias("guess"), F.when(near, F.lag("p").over(last)).alias("q"))
 
 
-@query(f"WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, {VALUES_SQL}, {SLOT_SQL} SELECT doc_id, count(*) AS n, count(guess) AS n_guessed, count(*) FILTER (guess = b) AS n_hits FROM guess GROUP BY doc_id")
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, {VALUES_SQL}, {SLOT_SQL} SELECT doc_id, count(*) AS n, count(guess) AS n_guessed, count(*) FILTER (guess = b) AS n_hits,
+round(8.0 * count(*) FILTER (guess IS NULL) + {MATCH_BITS[0]!r}::DOUBLE * count(*) FILTER (guess = b) + {MATCH_BITS[1]!r}::DOUBLE * count(*) FILTER (guess <> b), 3) AS bits FROM guess GROUP BY doc_id""")
 def match_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the match model guesses, and is right."""
+    """How often the match model guesses and is right, and the bits that its probabilities cost."""
     g = match_guesses(document_blobs(spark, sf_dir))
-    return g.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("guess").alias("n_guessed"), F.count(F.when(F.col("guess") == F.col("b"), 1)).alias("n_hits"))
+    out = g.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("guess").alias("n_guessed"), F.count(F.when(F.col("guess") == F.col("b"), 1)).alias("n_hits"))
+    bits = 8.0 * (F.col("n") - F.col("n_guessed")) + MATCH_BITS[0] * F.col("n_hits") + MATCH_BITS[1] * (F.col("n_guessed") - F.col("n_hits"))
+    return out.withColumn("bits", F.round(bits, 3))
 
 
-@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, {VALUES_SQL}, {SLOT_SQL} SELECT CAST(floor(log2(p - q)) AS INT) AS distance_class, count(*) AS n, count(*) FILTER (guess = b) AS n_hits,
-least(400 + 58 * least(CAST(floor(log2(p - q)) AS INT), 28), 2000) AS confidence FROM guess WHERE q IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, {VALUES_SQL}, {SLOT_SQL} SELECT CAST(floor(log2(p - q)) AS INT) AS distance_class, count(*) AS n, count(*) FILTER (guess = b) AS n_hits FROM guess WHERE q IS NOT NULL GROUP BY 1""")
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match candidates by the class of their distance, with hits and the confidence that the class number would have as a length."""
+    """Match candidates by the class of their distance, with hits."""
     g = match_guesses(document_blobs(spark, sf_dir)).filter(F.col("q").isNotNull())
     g = g.withColumn("distance_class", F.floor(F.log2((F.col("p") - F.col("q")).cast("double"))).cast("int"))
-    out = g.groupBy("distance_class").agg(F.count("*").alias("n"), F.count(F.when(F.col("guess") == F.col("b"), 1)).alias("n_hits"))
-    return out.withColumn("confidence", F.least(400 + 58 * F.least(F.col("distance_class"), F.lit(28)), F.lit(2000)))
+    return g.groupBy("distance_class").agg(F.count("*").alias("n"), F.count(F.when(F.col("guess") == F.col("b"), 1)).alias("n_hits"))
+
+
+def match_confidence(length: Column, bit: Column) -> Column:
+    """What a match of a length says, in the logistic domain, of a bit that its byte predicts: nothing without a match."""
+    sure = F.least(400 + 58 * F.least(length, F.lit(28)), F.lit(2000))
+    return F.when(length <= 0, 0).when(bit == 1, sure).otherwise(-sure)
+
+
+@query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, f AS (SELECT doc_id, p, b, CASE WHEN lag(b) OVER (PARTITION BY doc_id ORDER BY p) = b THEN 0 ELSE 1 END AS start FROM positions),
+g AS (SELECT doc_id, b, sum(start) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM f), r AS (SELECT doc_id, run, any_value(b) AS b, count(*) - 1 AS len FROM g GROUP BY doc_id, run), t AS (SELECT len, ('0x' || b)::INT >> 7 AS bit, count(*) AS n FROM r GROUP BY ALL)
+SELECT len AS length, bit, n, CASE WHEN len <= 0 THEN 0 WHEN bit = 1 THEN least(400 + 58 * least(len, 28), 2000) ELSE -least(400 + 58 * least(len, 28), 2000) END AS confidence FROM t""")
+def match_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches at distance 1 (runs) by length and first predicted bit, with the signed confidence that they have there."""
+    runs = document_blobs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.decode("data", "ISO-8859-1"), F.lit(r"(?s)((.)\2*)"), F.lit(1))).alias("run"))
+    rows = runs.groupBy((F.length("run") - 1).cast("long").alias("length"), F.shiftright(F.ascii(F.substring("run", 1, 1)), 7).alias("bit")).agg(F.count("*").alias("n"))
+    return rows.withColumn("confidence", match_confidence(F.col("length"), F.col("bit")).cast("long"))
 
 
 def longest_matches(data: bytes) -> tuple[int, int, int]:
-    """(places with a match, sum and maximum of verified lengths): 8-byte candidates first, then 4-byte ones."""
+    """(places with a match, sum and maximum of verified lengths). A match is sought where none goes on: the last places
+    after the same 8 and the same 4 bytes are both verified backwards, up to 65535 bytes, and the longer one is kept."""
     last: dict[bytes, int] = {}
     n = total = most = length = at = 0
     for p in range(4, len(data)):
+        found = []
         for k in (8, 4):
             if p >= k:
-                last_p = last.get(data[p - k : p])
-                if length == 0 and last_p is not None:
-                    at, length = last_p, 0
-                    while length < 65535 and at - length > 0 and data[at - length - 1] == data[p - length - 1]:
-                        length += 1
+                found.append(last.get(data[p - k : p]))
                 last[data[p - k : p]] = p
+        if length == 0:
+            for place in dict.fromkeys(found):
+                if place is not None:
+                    own = 0
+                    while own < 65535 and place > own and data[place - own - 1] == data[p - own - 1]:
+                        own += 1
+                    if own > length:
+                        at, length = place, own
         if length:
             n, total, most = n + 1, total + length, max(most, length)
-            if at < len(data) and data[at] == data[p]:
+            if data[at] == data[p]:
                 at, length = at + 1, length + 1
             else:
                 length = 0
@@ -225,19 +248,18 @@ def match_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_blobs(spark, sf_dir).repartition("doc_id").mapInPandas(run, "doc_id long, n_matched long, total_length long, longest long")
 
 
+PART = 4096
+
+
 @query(f"""WITH {DOCUMENT_BLOBS_SQL}, {POSITIONS_SQL}, w AS (SELECT doc_id, p, b, lag(b, 1, '00') OVER (PARTITION BY doc_id ORDER BY p) AS c FROM positions),
 t AS (SELECT doc_id, p, -ln((count(*) OVER (PARTITION BY doc_id, c, b ORDER BY p) + 0.0) / (count(*) OVER (PARTITION BY doc_id, c ORDER BY p) + 255.0)) / ln(2) AS bits FROM w)
-SELECT doc_id, (p - 1) // 4096 AS part, count(*) AS n, round(sum(bits), 3) AS bits FROM t GROUP BY doc_id, part""")
+SELECT doc_id, (p - 1) // {PART} AS part, count(*) AS n, round(sum(bits), 3) AS bits FROM t GROUP BY doc_id, part""")
 def rolling_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-1 bits of every 4096-byte part of each document, with all before it learnt.
+    """Order-1 bits of every part of PART bytes of each document, with all before it learnt.
 
     A part's cost is that of the prefix up to its end less that up to its start: per part only counts are added, so the
     adaptive cost is an aggregation here as well, over the parts' running counts."""
-    n = F.octet_length("data")
-    padded = F.concat(F.unhex(F.lit("00")), F.col("data"))
-    rows = document_blobs(spark, sf_dir).filter(n > 0).repartition("doc_id").select("doc_id", padded.alias("d"), n.alias("n"))
-    rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.substring(F.col("d"), p, F.lit(2)))).alias("p", "key"))
-    own = rows.groupBy("doc_id", F.floor(F.col("p") / 4096).alias("part"), "key").agg(F.count("*").alias("c"))
+    own = windows(document_blobs(spark, sf_dir), 1).groupBy("doc_id", F.floor(F.col("p") / PART).alias("part"), "key").agg(F.count("*").alias("c"))
     past = Window.partitionBy("doc_id", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("seen", F.coalesce(F.sum("c").over(past), F.lit(0)))
     byte = F.sum(lgamma2(F.col("seen") + F.col("c") + 1.0) - lgamma2(F.col("seen") + 1.0))
@@ -249,8 +271,18 @@ def rolling_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT hex(encode(line)) AS h FROM l)
-SELECT substr(h, 1, 8) AS head, least(length(h) // 2, 63) AS width, count(*) AS n FROM b GROUP BY 1, 2""")
+SELECT substr(h, 1, 8) AS head, length(h) // 2 AS width, count(*) AS n FROM b GROUP BY 1, 2""")
 def line_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines by their first four bytes and their width in bytes, at most 63."""
+    """Lines by their first four bytes and their width in bytes."""
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.encode("line", "UTF-8").alias("b"))
-    return lines.groupBy(F.hex(F.substring("b", 1, 4)).alias("head"), F.least(F.octet_length("b"), F.lit(63)).cast("long").alias("width")).agg(F.count("*").alias("n"))
+    return lines.groupBy(F.hex(F.substring("b", 1, 4)).alias("head"), F.octet_length("b").cast("long").alias("width")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT octet_length(encode(line)) AS width, count(*) AS n FROM l GROUP BY 1)
+SELECT CAST(c AS BIGINT) AS "column", CAST(sum(n) AS BIGINT) AS n_bytes FROM w, unnest(range(1, width + 1)) u(c) GROUP BY 1""")
+def line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bytes stand in each column of their line, from 1: lines are counted by width first, so a wide line is no
+    row a byte."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    widths = lines.groupBy(F.octet_length(F.encode("line", "UTF-8")).cast("long").alias("width")).agg(F.count("*").alias("n")).filter("width > 0")
+    return widths.select("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("width"))).alias("column")).groupBy("column").agg(F.sum("n").alias("n_bytes"))

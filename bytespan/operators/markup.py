@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.functions.workers import ship
 from bytespan.registry import query
 from bytespan.sources.blobs import table
 
@@ -38,31 +33,23 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.groupBy(F.lower(F.ltrim("t", F.lit("/"))).alias("tag")).agg(F.count(F.when(~closing, 1)).alias("n_open"), F.count(F.when(closing, 1)).alias("n_close"))
 
 
-TOKENS = re.compile(rb"<(/?)([A-Za-z0-9_:]*)([^>]*)>")
+def nesting(page: Column | str) -> Column:
+    """(tags, deepest, depth at the end) of a forgiving element stack: every other tag than a closing or self-closed one
+    pushes, comments and void elements too, as a context needs no parser. Depth and deepest are folded as one number."""
+    step = lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
+    depth = lambda a, t: F.least(F.lit(ELEMENTS), F.greatest(F.lit(0), F.shiftright(a, 8) + step(t)))
+    tags = F.regexp_extract_all(page, F.lit("<[^>]*>"), F.lit(0))
+    last = F.aggregate(tags, F.lit(0), lambda a, t: F.shiftleft(depth(a, t), 8) + F.greatest(a.bitwiseAND(F.lit(255)), depth(a, t)))
+    return F.struct(F.size(tags).cast("long").alias("n_tags"), last.bitwiseAND(F.lit(255)).cast("long").alias("deepest"), F.shiftright(last, 8).cast("long").alias("final_depth"))
 
 
-def depths(page: bytes) -> tuple[int, int, int]:
-    """(tags, deepest, depth at the end) of a forgiving element stack: every other tag than a closing or self-closed one
-    pushes, comments and void elements too, as a context needs no parser."""
-    n = depth = deepest = 0
-    for m in TOKENS.finditer(page):
-        n += 1
-        if m[1]:
-            depth = max(depth - 1, 0)
-        elif not m[3].endswith(b"/"):
-            depth = min(depth + 1, ELEMENTS)
-            deepest = max(deepest, depth)
-    return n, deepest, depth
+DEPTH_SQL = f"least({ELEMENTS}, greatest(0, (a >> 8) + x))"
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '<[^>]*>'), lambda t: CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') THEN 0 ELSE 1 END) AS s FROM pages),
+d AS (SELECT page_id, len(s) AS n, CASE WHEN len(s) = 0 THEN 0 ELSE list_reduce(s, lambda a, x: ({DEPTH_SQL} << 8) + greatest(a & 255, {DEPTH_SQL}), 0) END AS last FROM t)
+SELECT page_id, CAST(n AS BIGINT) AS n_tags, CAST(last & 255 AS BIGINT) AS deepest, CAST(last >> 8 AS BIGINT) AS final_depth FROM d""")
 def tag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Element nesting of each page."""
-    ship(spark)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [depths((h or "").encode("utf-8", "surrogatepass")) for h in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"], "n_tags": [x[0] for x in found], "deepest": [x[1] for x in found], "final_depth": [x[2] for x in found]})
-
-    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, n_tags long, deepest long, final_depth long")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    return rows.select("page_id", nesting("html").alias("d")).select("page_id", "d.*")

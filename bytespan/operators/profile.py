@@ -50,9 +50,14 @@ def block_entropies(found: DataFrame) -> DataFrame:
 @query(f"WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, v AS (SELECT doc_id, block, unnest(b) AS v FROM arrays), {entropy_sql('e', 'v')} SELECT doc_id, block, CAST(n AS BIGINT) AS n, round(e, 6) AS entropy FROM e")
 def block_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits per byte of every block."""
-    rows = blocks(mixed_blobs(spark, sf_dir)).repartition("doc_id", "block").select("doc_id", "block", F.explode(byte_array("chunk")).alias("v"))
+    return own_entropies(blocks(mixed_blobs(spark, sf_dir))).withColumn("entropy", F.round("entropy", 6))
+
+
+def own_entropies(found: DataFrame) -> DataFrame:
+    """(doc_id, block, n, entropy) of (doc_id, block, chunk)."""
+    rows = found.repartition("doc_id", "block").select("doc_id", "block", F.explode(byte_array("chunk")).alias("v"))
     counts = rows.groupBy("doc_id", "block", "v").agg(F.count("*").alias("c"))
-    return counts.groupBy("doc_id", "block").agg(F.sum("c").alias("n"), F.round(entropy(F.col("c")), 6).alias("entropy"))
+    return counts.groupBy("doc_id", "block").agg(F.sum("c").alias("n"), entropy(F.col("c")).alias("entropy"))
 
 
 DELTAS_SQL = """deltas AS (SELECT doc_id, block, s, unnest(list_transform(range(s + 1, len(b) + 1), lambda i: (b[i] - b[i - s] + 256) % 256)) AS v
@@ -71,7 +76,7 @@ def delta_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, v AS (SELECT doc_id, block, unnest(b) AS v FROM arrays), {entropy_sql('e', 'v')} SELECT doc_id, block, round(e, 6) AS entropy FROM e WHERE e > {HIGH}")
 def high_entropy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks above 7.5 bits per byte."""
-    return block_entropy(spark, sf_dir).filter(F.col("entropy") > HIGH).select("doc_id", "block", "entropy")
+    return own_entropies(blocks(mixed_blobs(spark, sf_dir))).filter(F.col("entropy") > HIGH).select("doc_id", "block", F.round("entropy", 6).alias("entropy"))
 
 
 def structured(found: DataFrame) -> DataFrame:

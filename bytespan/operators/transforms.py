@@ -136,7 +136,7 @@ def transform_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, {GAINS_SQL},
-best AS (SELECT doc_id, block, tag, gain, row_number() OVER (PARTITION BY doc_id, block ORDER BY gain DESC, tag) AS r FROM gains WHERE round(gain, 6) > {COST_BITS})
+best AS (SELECT doc_id, block, tag, gain, row_number() OVER (PARTITION BY doc_id, block ORDER BY gain DESC, tag) AS r FROM gains WHERE gain > {COST_BITS})
 SELECT doc_id, block, tag, round(gain, 3) AS gain FROM best WHERE r = 1""")
 def best_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate that saves most on each block, where it saves more than naming it costs."""
@@ -165,7 +165,7 @@ def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CLASSIFIED_SQL}, {GAINS_SQL}
-SELECT c.doc_id, c.block, CASE WHEN passthrough THEN 255 WHEN use_transform AND round(g.gain, 6) > {COST_BITS} THEN 1 ELSE 0 END AS tag, c.n FROM classes c LEFT JOIN gains g ON c.doc_id = g.doc_id AND c.block = g.block AND g.tag = 1""")
+SELECT c.doc_id, c.block, CASE WHEN passthrough THEN 255 WHEN use_transform AND g.gain > {COST_BITS} THEN 1 ELSE 0 END AS tag, c.n FROM classes c LEFT JOIN gains g ON c.doc_id = g.doc_id AND c.block = g.block AND g.tag = 1""")
 def codec_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tag that each block gets at a level that searches transforms: 255 stored, 1 to 8 transformed, 0 as it is."""
     return block_tags(mixed_blobs(spark, sf_dir))
@@ -179,3 +179,13 @@ def block_tags(blobs: DataFrame) -> DataFrame:
     out = c.join(gains, ["doc_id", "block"], "left")
     tag = F.when(F.col("passthrough"), 255).when(F.col("gain").isNotNull(), 1).otherwise(0)
     return out.select("doc_id", "block", tag.alias("tag"), "n")
+
+
+@query(f"""WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, d AS (SELECT doc_id, block, list_reverse(b) AS mirror, list_transform(b, lambda x: x & 15) AS mask, flatten(list_transform(range(3), lambda i: b)) AS repeat,
+list_transform(b, lambda x: least(x * 5 // 3, 255)) AS scale FROM arrays)
+SELECT doc_id, block, {", ".join(f"sha256(unhex(list_aggregate(list_transform({c}, lambda x: printf('%02X', x)), 'string_agg', ''))) AS {c}" for c in ("mirror", "mask", "repeat", "scale"))} FROM d""")
+def transform_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every block mirrored, masked, repeated and scaled: the transforms that no search tries."""
+    rows = blocks(mixed_blobs(spark, sf_dir)).repartition("doc_id", "block").select("doc_id", "block", byte_array("chunk").alias("b"))
+    made = {"mirror": mirror(F.col("b")), "mask": mask(F.col("b"), 15), "repeat": repeat(F.col("b"), 3), "scale": scale(F.col("b"), 5, 3)}
+    return rows.select("doc_id", "block", *[F.sha2(as_bytes(m), 256).alias(name) for name, m in made.items()])

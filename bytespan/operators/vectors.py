@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytespan.registry import query
@@ -29,3 +29,18 @@ def vector_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = v.agg(F.min_by("e", "vec_id").alias("q"))  # a single row
     dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return v.crossJoin(F.broadcast(one)).select("vec_id", F.round(dot, 6).alias("dot"))
+
+
+def softmax(values: Column) -> Column:
+    """The softmax of an array; the largest is subtracted first, so that no exponential overflows."""
+    most = F.array_max(values)
+    return F.transform(values, lambda x: F.exp(x - most) / F.aggregate(values, F.lit(0.0), lambda a, y: a + F.exp(y - most)))
+
+
+@query(f"""WITH {WIDE_SQL}, m AS (SELECT vec_id, e, list_max(e) AS m FROM v), x AS (SELECT vec_id, list_transform(e, lambda t: exp(t - m)) AS x FROM m), s AS (SELECT vec_id, x, list_sum(x) AS s FROM x)
+SELECT vec_id, round(list_max(x) / s, 9) AS most, round(-list_sum(list_transform(x, lambda t: t / s * ln(t / s))), 6) AS entropy, true AS sums_to_one FROM s""")
+def softmax_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as logits: the largest probability, the entropy, and whether the probabilities sum to 1."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", softmax(F.col("embedding").cast("array<double>")).alias("p"))
+    total = lambda f: F.aggregate("p", F.lit(0.0), lambda a, x: a + f(x))
+    return v.select("vec_id", F.round(F.array_max("p"), 9).alias("most"), F.round(-total(lambda x: x * F.log(x)), 6).alias("entropy"), (F.abs(total(lambda x: x) - 1) < 1e-9).alias("sums_to_one"))

@@ -82,12 +82,12 @@ def dict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary(words: DataFrame, letters: DataFrame) -> DataFrame:
     """(idx, word, n, kind) in dictionary order. words: dict_candidates; letters: one row of alphabet().
 
-    The first cut keeps the capacity's best words by a filter on their rank, which Spark turns into a partial top-k,
-    so the single-partition window sees no more rows than the dictionary can hold from each task."""
+    The first cut is a limit, of which each task sends no more than its own best, so the windows after it see as many words
+    as a dictionary can hold, whatever the vocabulary."""
     byte_order = F.encode("word", "UTF-8")
     best = Window.orderBy(F.desc("saved"), byte_order)
     limit = MAX_SINGLE + 256 * MAX_LEAD
-    ranked = words.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= limit)
+    ranked = words.orderBy(F.desc("saved"), byte_order).limit(limit).withColumn("r", F.row_number().over(best))
     ranked = ranked.crossJoin(F.broadcast(letters)).filter(F.col("usable") & (F.col("r") <= F.col("capacity")))
     enough = ranked.agg((F.count("*") >= MIN_WORDS).alias("enough"))
     head = F.when(F.col("r") <= 4 * F.col("n_single"), 0).otherwise(1)

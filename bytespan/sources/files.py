@@ -9,11 +9,23 @@ from bytespan.registry import query
 from bytespan.sources.blobs import table
 
 def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, relative, name, size, modified) of a folder's files; contents are not read."""
+    """(path, relative, name, size, modified) of a folder's files, by name; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     root = path.rstrip("/").split("://")[-1] + "/"
     relative = F.substring_index("path", root, -1)
-    return files.select("path", relative.alias("relative"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    rows = files.select("path", relative.alias("relative"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return rows.orderBy("name", "relative")
+
+
+def directory(spark: SparkSession, path: str, archives: tuple[str, ...] = (".packed",)) -> DataFrame:
+    """(name, is_dir, is_archive, size, modified) of what a folder holds, directories first, then by lower-case name. Object
+    stores have no directories but those that their files' names tell, so empty ones are not seen."""
+    top = F.substring_index("relative", "/", 1)
+    rows = listing(spark, path).groupBy(top.alias("name")).agg(F.max(F.col("relative").contains("/")).alias("is_dir"), F.sum("size").alias("size"), F.max("modified").alias("modified"))
+    packed = F.lit(False)
+    for extension in archives:
+        packed = packed | F.lower("name").endswith(extension)
+    return rows.select("name", "is_dir", (packed & ~F.col("is_dir")).alias("is_archive"), F.when(F.col("is_dir"), 0).otherwise(F.col("size")).alias("size"), "modified").orderBy(F.desc("is_dir"), F.lower("name"), "name")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -72,13 +84,27 @@ def member_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", name.alias("name")).select("doc_id", safe_path("name").alias("safe"), packed_name("name").alias("packed_name"), unpacked_name("name").alias("unpacked_name"))
 
 
-@query("""SELECT CAST(doc_id AS BIGINT) AS doc_id, n AS n_bytes, CASE WHEN n < 1024 THEN n::DOUBLE ELSE round(n / 1024.0, 6) END AS amount, CASE WHEN n < 1024 THEN 'B' ELSE 'KB' END AS unit
-FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)""")
+UNITS = ("B", "KB", "MB", "GB")
+
+
+def human_size(n: Column | str) -> tuple[Column, Column]:
+    """A size as an amount and a unit: bytes below 1024, then KB, MB and GB. The number stays a number, since engines
+    differ in how they round one into text."""
+    n = F.col(n) if isinstance(n, str) else n
+    amount, unit = n.cast("double"), F.lit(UNITS[0])
+    for k, name in enumerate(UNITS[1:], 1):
+        amount, unit = F.when(n >= 1024**k, F.round(n / F.lit(float(1024**k)), 6)).otherwise(amount), F.when(n >= 1024**k, name).otherwise(unit)
+    return amount, unit
+
+
+@query("""WITH s AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) * (1::BIGINT << CAST(10 * (doc_id % 4) AS INT)) AS n FROM documents)
+SELECT doc_id, n AS n_bytes, CASE WHEN n >= 1073741824 THEN round(n / 1073741824.0::DOUBLE, 6) WHEN n >= 1048576 THEN round(n / 1048576.0::DOUBLE, 6) WHEN n >= 1024 THEN round(n / 1024.0::DOUBLE, 6) ELSE n::DOUBLE END AS amount,
+CASE WHEN n >= 1073741824 THEN 'GB' WHEN n >= 1048576 THEN 'MB' WHEN n >= 1024 THEN 'KB' ELSE 'B' END AS unit FROM s""")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes as an amount and a unit."""
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    d = table(spark, sf_dir, "documents").select("doc_id", n.alias("n_bytes"))
-    return d.withColumn("amount", F.when(F.col("n_bytes") < 1024, F.col("n_bytes").cast("double")).otherwise(F.round(F.col("n_bytes") / 1024.0, 6))).withColumn("unit", F.when(F.col("n_bytes") < 1024, "B").otherwise("KB"))
+    """Sizes (of documents, times 1024 up to three times) as an amount and a unit."""
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * F.pow(F.lit(1024.0), F.pmod("doc_id", F.lit(4))).cast("long")
+    amount, unit = human_size("n_bytes")
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_bytes")).withColumn("amount", amount).withColumn("unit", unit)
 
 
 @query()

@@ -126,3 +126,105 @@ def test_keyed_average_over_a_stream(spark, tmp_path):
 
     want = {r["user_id"]: (r["n"], r["ema"]) for r in planner.throughput_ema(spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_headers_tell_what_is_wrong(spark):
+    from bytespan.operators import formats
+
+    good = b"BSPB\x0e\x00" + (5).to_bytes(8, "little") + b"\0" * 4 + (1).to_bytes(4, "little") + b"\0" + (2).to_bytes(4, "little") + b"xy"
+    cells = [b"", good[:17], b"zzzz" + good[4:], good[:4] + b"\x07" + good[5:], good[:22], good[:-1], good, good[:5] + b"\x04" + good[6:20]]
+    got = [r["s"] for r in blobs(spark, *cells).select("doc_id", formats.header_status("data").alias("s")).orderBy("doc_id").collect()]
+    assert got == ["too short", "too short", "bad magic", "bad version", "truncated block table", "truncated stored data", "ok", "truncated dictionary header"]
+
+
+def test_bit_fields_return_and_are_lowest_first():
+    import pytest
+
+    from bytespan.operators import formats
+
+    assert formats.pack_bits(np.array([1, 0, 5, (1 << 56) - 3]), np.array([1, 2, 3, 56]))[:1] == bytes([1 | 5 << 3 | (1 << 6) & 0xC0])
+    rng = random.Random(1)
+    widths = np.array([rng.randint(0, 56) for _ in range(200)])
+    values = np.array([rng.getrandbits(int(w)) if w else 0 for w in widths], np.uint64)
+    packed = formats.pack_bits(values, widths)
+    assert (formats.unpack_bits(packed, widths) == values).all() and len(packed) == -(-widths.sum() // 8)
+    with pytest.raises(ValueError):
+        formats.unpack_bits(packed, np.r_[widths, 56])
+
+
+def test_xxh3_of_known_data(spark, tmp_path):
+    from bytespan.operators import formats
+
+    spark.createDataFrame([(1, ""), (2, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["xxh3"] for r in formats.xxh3_docs(spark, str(tmp_path)).collect()} == {1: "2d06800538d394c2", 2: "e6c632b61e964e1f"}
+
+
+def test_directory_shows_folders_first(spark, tmp_path):
+    for name in ("b.TXT", "A.packed", "sub/x.txt", "Zed/deep/y.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    got = [(r["name"], r["is_dir"], r["is_archive"], r["size"]) for r in files.directory(spark, str(tmp_path)).collect()]
+    assert got == [("sub", True, False, 0), ("Zed", True, False, 0), ("A.packed", False, True, 5), ("b.TXT", False, False, 5)]
+    assert [r["name"] for r in files.listing(spark, str(tmp_path)).collect()] == ["A.packed", "b.TXT", "x.txt", "y.txt"]
+
+
+def test_longest_matches_keep_the_longer():
+    from bytespan.operators import contexts
+
+    assert contexts.longest_matches(b"abcdefgh" * 3) == (12, sum(range(4, 16)), 15)
+    # the last place after "1234" has four bytes in common, the last after the eight bytes before has nine
+    data = b"xabcd1234Q" + b"zz1234R" + b"xabcd1234Q"
+    assert contexts.longest_matches(data)[2] == 9 and contexts.longest_matches(b"") == (0, 0, 0)
+
+
+def test_windows_of_blobs_larger_than_a_slice(spark, monkeypatch):
+    from bytespan.functions import bytes as functions
+
+    monkeypatch.setattr(functions, "SLICE", 7)
+    data = bytes(range(50))
+    rows = functions.windows(blobs(spark, data, b"", b"x"), 3).collect()
+    padded = b"\0\0\0" + data
+    assert {r["p"]: bytes(r["key"]) for r in rows if r["doc_id"] == 0} == {p: padded[p : p + 4] for p in range(50)}
+    assert sum(r["doc_id"] == 2 for r in rows) == 1 and len(rows) == 51
+
+
+def test_mutual_code_length_of_copies_and_strangers(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(97, 122, 4000, dtype=np.uint8).tobytes(), rng.integers(65, 90, 4000, dtype=np.uint8).tobytes()
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 0)], "a long, b long")
+    got = {r["b"]: r["distance"] for r in codelength.mutual_code_length(blobs(spark, a, a, b), pairs).collect()}
+    assert abs(got[0]) < 1e-9 and got[1] < got[2] and got[2] > 0.9
+
+
+def test_control_counts_waits_and_cancels(spark):
+    import threading
+    import time
+
+    from bytespan.plans.control import Control
+
+    control = Control(spark)
+    assert control.counted(blobs(spark, b"abc", b"", b"12345")).count() == 3 and control.bytes_done() == 8
+    control.pause()
+    steps = []
+    worker = threading.Thread(target=lambda: steps.append(control.proceed()))
+    worker.start()
+    time.sleep(0.2)
+    assert control.is_paused() and not steps
+    control.resume()
+    worker.join(5)
+    assert steps == [True]
+    ended = []
+
+    def job():
+        control.begin("long")
+        try:
+            spark.range(1000, numPartitions=8).selectExpr("count(java_method('java.lang.Thread', 'sleep', 60L))").collect()
+        except Exception as error:
+            ended.append(error)
+
+    worker = threading.Thread(target=job)
+    worker.start()
+    time.sleep(2)
+    control.cancel()
+    worker.join(20)
+    assert control.is_cancelled() and not control.proceed() and not worker.is_alive()
