@@ -34,12 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytespan.llm.bpe import broadcast_file, vocabulary
+from bytespan.llm.bpe import broadcast_file, runs, vocabulary
 from bytespan.llm.common import discard, saved, tasks
 from bytespan.llm.words import buffers, mixed
 
 SHARD_DOCS, SHARD_CHARS, HEAVY, KEYS = 512, 2_000_000, 8, 4
 K1, B = 1.2, 0.75
+KEY_SALTS = (np.arange(KEYS, dtype=np.uint64) << np.uint64(32))[:, None]
 
 
 def kind_of(size: int) -> str:
@@ -72,7 +73,7 @@ class Corpus:
         if not len(term):
             return [-1] * KEYS
         heavy = term[np.argsort(-self.weights(term, tf.astype(float), len(ids)), kind="stable")[:HEAVY]].astype(np.uint64)
-        return [int((mixed(heavy + np.uint64(k << 32)) >> np.uint64(1)).min()) for k in range(KEYS)]
+        return (mixed(heavy + KEY_SALTS) >> np.uint64(1)).min(1).tolist()
 
 
 class Index:
@@ -104,9 +105,8 @@ class Index:
         terms = terms[self.df[terms] > 1]
         if not len(terms):
             return terms.astype(np.int64)
-        spans = [slice(self.begin_term[t], self.begin_term[t + 1]) for t in terms]
-        docs, scores = np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans])
-        total = np.bincount(docs, weights=scores, minlength=self.n)
+        at = runs(self.begin_term[terms], self.df[terms])
+        total = np.bincount(self.post_doc[at], weights=self.post_weight[at], minlength=self.n)
         total[~unused] = 0
         found = np.flatnonzero(total)
         return found[np.argsort(-total[found], kind="stable")]
@@ -148,40 +148,45 @@ class Packer:
                 asked, ranked = self.sequence, iter(index.query(place, unused))
 
 
-def tokenised(docs: DataFrame, path: str, closing: int, size: int) -> DataFrame:
-    """(doc_id, mark, chars, n, ids) of every row: ids as bytes of their kind, with the closing one; saved."""
+def tokenised(docs: DataFrame, path: str, closing: int, size: int) -> tuple[DataFrame, Corpus]:
+    """(doc_id, mark, chars, n, ids) of every row: ids as bytes of their kind, with the closing one; saved. And the
+    statistics of all rows: each task adds a row with its document frequencies, size numbers, which come to the driver
+    summed."""
     shared = broadcast_file(docs.sparkSession, path)
-    kind = kind_of(size)
+    kind, names = kind_of(size), ["doc_id", "mark", "chars", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, end = vocabulary(shared.value), np.array([closing], kind).tobytes()
+        df, rows = np.zeros(size, np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             for a, b, ids, begin in vocab.ids_of(*buffers(batch.column(3))):
-                raw, at = ids.astype(kind).tobytes(), (begin * np.dtype(kind).itemsize).tolist()
+                ids = ids.astype(kind)
+                raw, at = ids.tobytes(), (begin * ids.itemsize).tolist()
+                for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    df[terms_of(ids[x:y], size)[0]] += 1
                 whole = [raw[x:y] + end for x, y in zip(at[:-1], at[1:], strict=True)]
                 own = [batch.column(k).slice(a, b - a) for k in range(3)]
-                yield pa.record_batch([*own, pa.array(np.diff(begin) + 1, pa.int64()), pa.array(whole, pa.binary())], ["doc_id", "mark", "chars", "n", "ids"])
+                yield pa.record_batch([*own, pa.array(np.diff(begin) + 1, pa.int64()), pa.array(whole, pa.binary())], names)
+        df[closing] = rows
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([-1], pa.int64()), pa.array([df.tobytes()], pa.binary())], names)
 
-    view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    view = view.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.length("text").alias("chars"), "text")
-    return saved(view.mapInArrow(run, "doc_id long, mark long, chars int, n long, ids binary"))
-
-
-def corpus_of(rows: DataFrame, size: int) -> Corpus:
-    """The statistics of all tokenised rows; size numbers come to the driver."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(size, np.int64)
         for frame in frames:
             for raw in frame["ids"]:
-                df[terms_of(np.frombuffer(raw, kind_of(size)), size)[0]] += 1
+                df += np.frombuffer(raw, np.int64)
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": at, "df": df[at]})
 
+    view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    view = view.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), F.length("text").alias("chars"), "text")
+    every = saved(view.mapInArrow(run, "doc_id long, mark long, chars int, n long, ids binary"))
     df = np.zeros(size, np.int64)
-    for r in rows.select("ids").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in every.filter("n < 0").select("ids").mapInPandas(summed, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]
-    whole = rows.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
-    return Corpus(df, whole["n"], whole["mean"] or 0.0)
+    whole = every.filter("n >= 0").agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+    return every, Corpus(df, whole["n"], whole["mean"] or 0.0)
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_ids: bool = False) -> DataFrame:
@@ -189,8 +194,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_
     as little-endian unsigned 32-bit bytes."""
     with open(path, encoding="utf-8") as f:
         size = max(vocabulary(f.read()).size, closing + 1)
-    rows = tokenised(docs, path, closing, size)
-    corpus = docs.sparkSession.sparkContext.broadcast(corpus_of(rows, size))
+    every, known = tokenised(docs, path, closing, size)
+    corpus = docs.sparkSession.sparkContext.broadcast(known)
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -227,8 +232,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, closing: int = 1, with_
     kinds = "doc_id long, mark long, chars int, n long, ids binary, " + ", ".join(f"k{k} long" for k in range(KEYS))
     order = [*[f"k{k}" for k in range(KEYS)], "doc_id", "mark"]
     # saved, as ranges are found by a sample of the keys: that reads no ids and forms no key twice
-    keys = saved(rows.mapInPandas(keyed, kinds))
-    discard(rows)
+    keys = saved(every.filter("n >= 0").mapInPandas(keyed, kinds))
+    discard(every)
     near = keys.repartitionByRange(tasks(docs), *order).sortWithinPartitions(*order)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return near.select("doc_id", "ids", "chars").mapInPandas(run, schema)
