@@ -9,14 +9,15 @@ text's bytes and words, and the n_chars column as metadata; lang, source and
 doc_id are never looked at.
 
 The model is fitted on the driver on at most SAMPLE labelled rows, those whose
-id hashes lowest (a documented bound; the fit is deterministic); scoring covers
-every whole text. Weights are of fixed size (BUCKETS x (RANK + 1) floats), so
+id hashes lowest, as far as their features fit into SAMPLE_BYTES (documented
+bounds; the fit is deterministic); scoring covers every whole text. Weights are of fixed size (BUCKETS x (RANK + 1) floats), so
 they may be broadcast at any scale.
 
 Defined cases: null texts count as empty and get a score; null n_chars counts as
 0; a doc_id with several labels counts with its lowest; null labels and labels
 without a document are left out; without any label, or with one kind only, the
-score is the smoothed share of label 1; rows that repeat are scored alike; extra
+score is the smoothed share of label 1; rows that repeat are scored alike, and of
+those of one id one teaches; extra
 columns are ignored.
 """
 
@@ -27,13 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytespan.llm.common import ship
+from bytespan.llm.common import saved, ship
 from bytespan.llm.words import Words, parts
 
 BUCKETS, RANK, SAMPLE = 1 << 15, 8, 4000
+#: Bytes of their features that come to the driver at most.
+SAMPLE_BYTES = 128_000_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.05, 1e-5, 7
 #: Fewer rows are seen more often: so many in all at least.
 SEEN = 40_000
@@ -135,7 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """A machine fitted on at most so many labelled documents. labels: (doc_id, label); choose its rows before."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
-    texts = view(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "label")
+    texts = view(docs).join(F.broadcast(chosen), "doc_id")
+    # of rows that repeat an id one teaches: each task sends no more than one of an id
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "n_chars"))
+    texts = texts.withColumn("place", F.row_number().over(first)).filter("place = 1").select("doc_id", "text", "n_chars", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                     "value": pa.array([x.value[a:b].astype("<f4").tobytes() for a, b in zip(x.begin, x.begin[1:])], pa.binary()),
                 })
 
-    found = texts.mapInArrow(run, "doc_id long, label int, feature binary, value binary").collect()
-    # rows that repeat an id don't outvote the bound
-    found = sorted(found, key=lambda r: (r["doc_id"], r["feature"], r["value"]))[:sample]
+    # sample rows at most; of their sizes follows which of them fit into SAMPLE_BYTES, in the order of their ids' hashes
+    found = saved(texts.mapInArrow(run, "doc_id long, label int, feature binary, value binary").withColumn("h", F.xxhash64("doc_id")))
+    sizes = sorted((r["h"], r["b"]) for r in found.select("h", (F.octet_length("feature") + F.octet_length("value")).alias("b")).collect())
+    fits = [h for (h, _), total in zip(sizes, np.cumsum([b for _, b in sizes]), strict=True) if total <= SAMPLE_BYTES]
+    found = sorted(found.filter(F.col("h") <= fits[-1]).collect(), key=lambda r: (r["doc_id"], r["feature"], r["value"])) if fits else []
     y = np.array([r["label"] for r in found], float)
     share = (y.sum() + 1) / (len(y) + 2)
     machine = Machine(float(np.log(share / (1 - share))))

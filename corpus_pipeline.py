@@ -4,6 +4,15 @@ Each stage takes (spark, docs, sf_dir), works on all that the one before kept,
 and is written as Parquet in the shared folder and read again, so a lost
 executor costs one stage's work at most. All stages but the last return the
 columns of documents; the last returns the pieces of the packed sequences.
+
+Defined cases, stage by stage: null and empty texts have no words and fail the base
+rules; where a stage is given them by itself, line dedup and PII pass them
+unchanged, the n-gram join keeps each, and packing gives a null or empty text its
+closing id. Of equal lines or documents, and in ties, that of the smaller doc_id
+stays; rows that repeat a doc_id with the same text are one document after the
+n-gram join; a null doc_id comes first in line dedup and stays in the join. Null
+lang and source form groups of their own. Extra columns pass through all stages but
+the last. An empty table gives no pieces.
 """
 
 from __future__ import annotations
