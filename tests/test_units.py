@@ -228,3 +228,22 @@ def test_control_counts_waits_and_cancels(spark):
     control.cancel()
     worker.join(20)
     assert control.is_cancelled() and not control.proceed() and not worker.is_alive()
+
+
+def test_frames_return_and_tell_what_is_cut():
+    data = b"hello world " * 60 + bytes(range(256))
+    frame = coder.encode_framed(data, 300)
+    assert coder.decode_framed(frame, len(data)) == data and len(frame) < len(data)
+    assert coder.encode_framed(b"") == b"" and coder.decode_framed(b"", 0) == b""
+    assert coder.decode_framed(frame[:-1], len(data)) is None and coder.decode_framed(frame, 5 * len(data)) is None and coder.decode_framed(b"x", 3) is None
+    assert coder.decode_framed(coder.encode_framed(b"z"), 1) == b"z"
+
+
+def test_states_and_refiners_learn():
+    assert coder.NEXT_STATE[1, 0x00] == 0x01 and coder.NEXT_STATE[0, 0x0F] == 0x18 and coder.NEXT_STATE[1, 0xF3] == 0x84
+    r = coder.Refiner(1, 2)
+    before = r.refine(np.array([0.0]), np.array([1]))[0]
+    for _ in range(200):
+        r.refine(np.array([0.0]), np.array([1]))
+        r.update(np.array([1]))
+    assert abs(before - 0.5) < 1e-6 and r.refine(np.array([0.0]), np.array([1]))[0] > 0.9 and abs(r.refine(np.array([0.0]), np.array([0]))[0] - 0.5) < 1e-6
