@@ -72,7 +72,7 @@ class Pieces:
     def __init__(self):
         self.bits, self.count, self.used = 16, 0, 0
         self.key, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.begin, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.begin, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.flat = np.zeros(1 << 17, np.uint32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -310,7 +310,7 @@ class Vocabulary:
         h = np.maximum(words.hashes, np.uint64(1))
         entry = self.memory.find(h)
         new = np.flatnonzero(entry < 0)
-        begin, size, flat = self.memory.begin[entry], self.memory.size[entry], self.memory.flat
+        begin, size, flat = self.memory.begin[entry].astype(np.int64), self.memory.size[entry].astype(np.int64), self.memory.flat[: self.memory.used]
         if len(new):
             key, first, which = np.unique(h[new], return_index=True, return_inverse=True)
             starts = words.starts[new[first]]
