@@ -35,16 +35,22 @@ def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_entropies(found: DataFrame) -> DataFrame:
-    """(doc_id, block, n, e0, e1): entropy of each block and of its differences, from (doc_id, block, chunk).
+    """(doc_id, block, n, e0, e1, gain): entropy of each block and of its differences, and the bits that a block saves
+    as differences (its first byte as it is), from (doc_id, block, chunk).
 
     Blocks are dealt out once, by (doc_id, block); both aggregations then run where they are."""
     rows = found.repartition("doc_id", "block").select("doc_id", "block", byte_array("chunk").alias("b"))
     # bytes as they are, differences 256 higher: one pass over both
     both = F.concat("b", F.transform(delta(F.col("b")), lambda x: x + 256))
-    counts = rows.select("doc_id", "block", F.explode(both).alias("v")).groupBy("doc_id", "block", "v").agg(F.count("*").alias("c"))
+    first = (F.get("b", F.lit(0)) + 256).alias("first")
+    counts = rows.select("doc_id", "block", first, F.explode(both).alias("v")).groupBy("doc_id", "block", "first", "v").agg(F.count("*").alias("c"))
     own, gap = F.when(F.col("v") < 256, F.col("c")), F.when(F.col("v") >= 256, F.col("c"))
-    out = counts.groupBy("doc_id", "block").agg(F.sum(own).alias("n"), entropy(own).alias("e0"), entropy(gap).alias("e1"))
-    return out
+    log = lambda x: x * F.log2(x.cast("double"))
+    same = F.coalesce(F.sum(F.when(F.col("v") == F.col("first"), F.col("c"))), F.lit(0))
+    out = counts.groupBy("doc_id", "block").agg(F.sum(own).alias("n"), entropy(own).alias("e0"), entropy(gap).alias("e1"), F.coalesce(F.sum(log(gap)), F.lit(0.0)).alias("all"), same.alias("same"))
+    # the first byte's value is one more of its kind among the differences
+    with_first = F.log2(F.col("n").cast("double")) - (F.col("all") - F.when(F.col("same") > 0, log(F.col("same"))).otherwise(0.0) + log(F.col("same") + 1)) / F.col("n")
+    return out.select("doc_id", "block", "n", "e0", "e1", (F.col("n") * (F.col("e0") - with_first)).alias("gain"))
 
 
 @query(f"WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, v AS (SELECT doc_id, block, unnest(b) AS v FROM arrays), {entropy_sql('e', 'v')} SELECT doc_id, block, CAST(n AS BIGINT) AS n, round(e, 6) AS entropy FROM e")
@@ -121,7 +127,7 @@ def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(blobs: DataFrame) -> DataFrame:
-    """(doc_id, block, n, e0, e1, passthrough, use_delta, use_transform) of every block."""
+    """(doc_id, block, n, e0, e1, gain, passthrough, use_delta, use_transform) of every block."""
     whole = blobs.select("doc_id", magic_label("data").isNotNull().alias("magic"))
     found = blocks(blobs)
     e = block_entropies(found)
@@ -130,7 +136,7 @@ def classified(blobs: DataFrame) -> DataFrame:
     e = e.join(probe, ["doc_id", "block"], "left").join(whole.filter("magic"), "doc_id", "left")
     through = F.coalesce("magic", F.lit(False)) | F.coalesce("incompressible", F.lit(False))
     gain = F.coalesce(F.col("e1") < F.col("e0") - DELTA_GAIN, F.lit(False))
-    e = e.select("doc_id", "block", "n", "e0", "e1", through.alias("passthrough"), (~through & gain).alias("use_delta"))
+    e = e.select("doc_id", "block", "n", "e0", "e1", "gain", through.alias("passthrough"), (~through & gain).alias("use_delta"))
     return e.withColumn("use_transform", ~F.col("passthrough") & ~F.col("use_delta") & (F.col("e0") < TRANSFORM_BELOW))
 
 

@@ -172,13 +172,10 @@ def codec_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_tags(blobs: DataFrame) -> DataFrame:
+    """(doc_id, block, tag, n): one pass over the blocks gives their classes and what differences save on them."""
     c = classified(blobs)
-    # only blocks that may be transformed are searched
-    some = blocks(blobs).join(c.filter("use_transform").select("doc_id", "block"), ["doc_id", "block"], "left_semi")
-    gains = delta_gain(some).filter(F.col("gain") > COST_BITS).select("doc_id", "block", "gain")
-    out = c.join(gains, ["doc_id", "block"], "left")
-    tag = F.when(F.col("passthrough"), 255).when(F.col("gain").isNotNull(), 1).otherwise(0)
-    return out.select("doc_id", "block", tag.alias("tag"), "n")
+    tag = F.when(F.col("passthrough"), 255).when(F.col("use_transform") & (F.col("gain") > COST_BITS), 1).otherwise(0)
+    return c.select("doc_id", "block", tag.alias("tag"), "n")
 
 
 @query(f"""WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, d AS (SELECT doc_id, block, list_reverse(b) AS mirror, list_transform(b, lambda x: x & 15) AS mask, flatten(list_transform(range(3), lambda i: b)) AS repeat,

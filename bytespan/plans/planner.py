@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytespan.registry import query
@@ -97,8 +97,15 @@ def civil_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS l FROM events WHERE value IS NOT NULL GROUP BY user_id)
 SELECT user_id, len(l) AS n, round(list_reduce(l, lambda a, x: CASE WHEN a = 0 THEN x ELSE 0.6 * a + 0.4 * x END, 0.0::DOUBLE), 6) AS ema FROM s""")
 def throughput_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moving average 0.6 / 0.4 of each user's values in order of time, seeded where it is 0."""
+    """Moving average 0.6 / 0.4 of each user's values in order of time, seeded by the first that isn't 0.
+
+    The average is a weighted sum: a value counts 0.4 times 0.6 for each later one, the seed without the 0.4. So it is an
+    aggregation over numbered rows, and no user's history stands in one row."""
     e = table(spark, sf_dir, "events").filter(F.col("value").isNotNull())
-    s = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("l"))
-    step = lambda a, x: F.when(a == 0, x["value"]).otherwise(0.6 * a + 0.4 * x["value"])
-    return s.select("user_id", F.size("l").cast("long").alias("n"), F.round(F.aggregate("l", F.lit(0.0), step), 6).alias("ema"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    whole = Window.partitionBy("user_id")
+    rows = e.select("user_id", "value", F.row_number().over(order).alias("i"))
+    rows = rows.withColumn("n", F.count("*").over(whole)).withColumn("seed", F.min(F.when(F.col("value") != 0, F.col("i"))).over(whole))
+    share = F.pow(F.lit(0.6), F.col("n") - F.col("i")) * F.when(F.col("i") == F.col("seed"), 1.0).otherwise(0.4)
+    ema = F.sum(F.when(F.col("i") >= F.col("seed"), share * F.col("value")).otherwise(0.0))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(ema, 6).alias("ema"))
