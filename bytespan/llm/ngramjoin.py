@@ -405,9 +405,11 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     discard()
     near = components(links)
     marked = lists.join(small(near), "node", "left").select("shingle", "n", "node", "leader", F.coalesce("component", "node").alias("component"))
-    own = Window.partitionBy("shingle")
-    marked = marked.withColumn("size", F.count("*").over(own)).withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own))
-    open_lists = saved(marked.filter(F.col("low") != F.col("high")).drop("low", "high"))
+    # sizes are partial aggregates, so that no long list is gathered to be counted
+    open_ = marked.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = saved(open_.filter(F.col("low") != F.col("high")).select("shingle", "size"))
+    open_lists = saved(marked.join(small(open_), "shingle"))
+    discard(open_)
     discard(lists)
     tried = star.select(F.least("q", "c").alias("q"), F.greatest("q", "c").alias("c"))
     rest = crossing_pairs(open_lists.filter(F.col("size") <= SMALL), num, den).join(tried, ["q", "c"], "left_anti")
