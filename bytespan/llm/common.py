@@ -64,7 +64,8 @@ def discard(*tables: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
+    if session := SparkSession.getActiveSession():
+        session._jvm.System.gc()
 
 
 def small(df: DataFrame, most: int = 500_000) -> DataFrame:
