@@ -275,6 +275,43 @@ def test_the_query_compares_lines_by_words(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_lists_of_a_fixed_vocabulary_stay_short(spark):
+    """Lines that are not similar meet few others, though each word's list grows with the lines."""
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1000, 30)) for _ in range(1200)]
+    lines = linededup.lines_of(some_docs(spark, list(enumerate(texts))), 1)
+    lists = linededup.dealt_lists(linededup.distinct_sets(lines, linededup.rarity_classes(lines)))
+    met = lists.groupBy("code").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
+    assert met < 10 * len(texts)  # 2.4 a line; by single words of the prefix 80
+
+
+def test_bound_of_tokens_that_similar_lines_do_not_share(spark):
+    sizes = range(1, 301)
+    most = {n: max(2 * n + m - 3 * o for m in range(1, 2 * n + 2) if (o := -(-4 * (n + m) // 9)) <= min(n, m)) for n in sizes}
+    got = {r["n"]: r["u"] for r in spark.createDataFrame([(n,) for n in sizes], "n int").select("n", linededup.unshared(F.col("n")).alias("u")).collect()}
+    assert all(got[n] >= most[n] for n in sizes)
+
+
+def test_lines_near_the_threshold_and_of_few_words_equal_brute_force(spark):
+    """Long lines, of which several keys must be shared, and lines that repeat few words, with as many words changed as the threshold allows or one more."""
+    rng = np.random.default_rng(32)
+    texts = []
+    for size, words in [(4, 3), (5, 4), (6, 2), (9, 5), (14, 12), (20, 3), (40, 4), (40, 10), (40, 500), (100, 30), (150, 900), (300, 2000)] * 4:
+        line = [f"w{x}" for x in rng.integers(0, words, size)]
+        texts.append(line)
+        for n in (size // 9, size // 9 + 1, size // 5, size // 5 + 1):
+            changed, cut = list(line), list(line)
+            for at in rng.choice(size, min(n, size), replace=False):
+                changed[at] = f"w{rng.integers(0, words)}" if n % 2 else f"z{rng.integers(0, 9)}"
+            for at in sorted(rng.choice(size, min(n, size - 1), replace=False), reverse=True):
+                del cut[at]
+            texts += [changed, cut]
+    rng.shuffle(texts := [" ".join(t) for t in texts])
+    texts = ["\n".join(texts[j : j + 5]) for j in range(0, len(texts), 5)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(some_docs(spark, list(enumerate(texts))), k=1).collect()}
+    assert got == brute_word_lines(list(enumerate(texts)), 1)
+
+
 # rules
 
 def test_rules_measure_and_judge(spark):
