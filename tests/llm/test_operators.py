@@ -285,6 +285,36 @@ def test_lists_of_a_fixed_vocabulary_stay_short(spark):
     assert met < 10 * len(texts)  # 2.4 a line; by single words of the prefix 80
 
 
+def test_near_copies_below_the_threshold_are_not_verified(spark, monkeypatch):
+    """Lines that share most keys but are not similar, one kind of distinct and one of repeated words: with a
+    signature of 128 bits of the distinct words 3502 pairs were verified."""
+    rng = np.random.default_rng(33)
+    texts = []
+    for j in range(75):
+        line = [f"w{x}" for x in range(150)]
+        for at in rng.choice(150, 14, replace=False):
+            line[at] = f"z{rng.integers(0, 10**6)}"
+        texts += [line, [f"v{x}" for x in np.repeat(np.arange(20), rng.multinomial(300, rng.dirichlet(np.full(20, 2.0))))]]
+    verified, met = linededup.verified, []
+
+    def counted(pairs, docs, k):
+        met.append(pairs.count())
+        return verified(pairs, docs, k)
+
+    monkeypatch.setattr(linededup, "verified", counted)
+    texts = [" ".join(t) for t in texts]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(some_docs(spark, list(enumerate(texts))), k=1).collect()}
+    assert got == brute_word_lines(list(enumerate(texts)), 1)
+    assert sum(met) < 2 * len(texts)
+
+
+def test_keys_count_only_among_lines_of_similar_size(spark):
+    texts = [" ".join(f"w{j}" for j in range(n)) for n in (10, 14)]
+    lines = linededup.lines_of(some_docs(spark, list(enumerate(texts))), 1)
+    sets = linededup.distinct_sets(lines, linededup.rarity_classes(lines))
+    assert sets.count() == 2 and linededup.dealt_lists(sets).count() == 0
+
+
 def test_bound_of_tokens_that_similar_lines_do_not_share(spark):
     sizes = range(1, 301)
     most = {n: max(2 * n + m - 3 * o for m in range(1, 2 * n + 2) if (o := -(-4 * (n + m) // 9)) <= min(n, m)) for n in sizes}
