@@ -315,6 +315,14 @@ def test_keys_count_only_among_lines_of_similar_size(spark):
     assert sets.count() == 2 and linededup.dealt_lists(sets).count() == 0
 
 
+def test_parts_of_the_keys_are_all_keys(spark):
+    texts = [" ".join(f"w{j}" for j in range(n)) for n in range(10, 60)]
+    lines = linededup.lines_of(some_docs(spark, list(enumerate(texts))), 1)
+    sets = linededup.distinct_sets(lines, linededup.rarity_classes(lines)).cache()
+    parts = [sorted(linededup.dealt_lists(sets, p).collect()) for p in range(linededup.PARTS)]
+    assert all(parts) and sorted(sum(parts, [])) == sorted(linededup.dealt_lists(sets).collect())
+
+
 def test_bound_of_tokens_that_similar_lines_do_not_share(spark):
     sizes = range(1, 301)
     most = {n: max(2 * n + m - 3 * o for m in range(1, 2 * n + 2) if (o := -(-4 * (n + m) // 9)) <= min(n, m)) for n in sizes}
