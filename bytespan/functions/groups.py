@@ -2,7 +2,8 @@
 
 A group holds some blobs end to end. What is counted by blob and key is one sort of whole numbers in which blob, key and
 place are packed, so a byte is an element of an array, never a row, and the work is in proportion to the bytes. A group has
-1 MiB of bytes at most, or one blob that is larger; no task holds more than a batch of blobs and the arrays of one group.
+256 KiB at most, so that its arrays stay in a core's cache, or one blob that is larger; no task holds more than a batch of
+blobs and the arrays of one group.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from bytespan.functions.workers import ship
 
 #: Bytes and blobs of a group.
-GROUP, BLOBS = 1 << 20, 1 << 12
+GROUP, BLOBS = 1 << 18, 1 << 12
 #: From this estimate of bytes on, rows are dealt over all shuffle partitions; below, adaptive execution joins small ones.
 LARGE = 1 << 26
 
@@ -62,14 +63,17 @@ class Group:
             key, bits = key << np.uint64(8) | self.back(k), bits + 8
         return key, bits
 
-    def by_place(self, key: np.ndarray, bits: int, blob: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """(places, starts): all places ordered by blob, key and place, and where in that order another key begins."""
-        own, low = width(self.n) if blob else 0, width(len(self.data))
+    def by_place(self, key: np.ndarray, bits: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, starts): all places, or those to keep, ordered by blob, key and place, and where in that order another
+        key begins."""
+        own, low = width(self.n), width(len(self.data))
         if own + bits + low > 64:
             key, bits = dense(key)
         packed = key << np.uint64(low) | np.arange(len(key), dtype=np.uint64)
         if own:
             packed |= self.blob << np.uint64(bits + low)
+        if keep is not None:
+            packed = packed[keep]
         packed.sort()
         return (packed & np.uint64((1 << low) - 1)).astype(np.int64), run_starts(packed >> np.uint64(low))
 
@@ -80,10 +84,10 @@ class Group:
         out[at] = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
         return out
 
-    def previous(self, key: np.ndarray, bits: int) -> np.ndarray:
-        """For every byte the last place in the group with the same key in its blob, else -1."""
-        at, starts = self.by_place(key, bits)
-        out = np.empty(len(at), np.int64)
+    def previous(self, key: np.ndarray, bits: int, keep: np.ndarray | None = None) -> np.ndarray:
+        """For every byte the last place in the group with the same key in its blob, else -1; keep: only among these."""
+        at, starts = self.by_place(key, bits, keep)
+        out = np.full(len(self.data), -1, np.int64)
         out[at[1:]] = at[:-1]
         out[at[starts]] = -1
         return out
@@ -156,12 +160,14 @@ def groups(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, G
 
 def dealt(rows: DataFrame, *by: str) -> DataFrame:
     """rows dealt out by columns: over all shuffle partitions where they are many, else as adaptive execution has it."""
-    spark = rows.sparkSession
-    try:
-        large = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= LARGE
-    except Exception:  # a session without a JVM at hand has no estimate
-        large = True
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by) if large else rows.repartition(*by)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *by) if table_bytes(rows) >= LARGE else rows.repartition(*by)
+
+
+def table_bytes(rows: DataFrame) -> int:
+    """Spark's estimate of the bytes of rows, 0 where it has none (rows that were made by a program)."""
+    n = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
 
 
 def over_batches(rows: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -175,12 +181,12 @@ def over_batches(rows: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterat
     return rows.mapInArrow(run, schema)
 
 
-def over_groups(rows: DataFrame, f: Callable[[pa.RecordBatch, Group], dict], schema: str, name: str = "data") -> DataFrame:
+def over_groups(rows: DataFrame, f: Callable[[pa.RecordBatch, Group], dict], schema: str, name: str = "data", empty: bool = False) -> DataFrame:
     """f over groups of the blobs in the binary column name, with their rows; it returns columns by name. Empty blobs are
-    left out."""
+    left out, unless empty says otherwise."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for found, g in groups(batch, name):
                 yield f(found, g)
 
-    return over_batches(rows.filter(F.octet_length(name) > 0), run, schema)
+    return over_batches(rows if empty else rows.filter(F.octet_length(name) > 0), run, schema)

@@ -1,6 +1,7 @@
 """Queries over bytes: none makes a row of a byte, and the kernels equal brute force, in groups of any size."""
 
 import random
+import re
 from math import lgamma, log, log2
 
 import numpy as np
@@ -103,3 +104,105 @@ def test_mutual_lengths_make_no_row_a_byte_and_equal_simulation(spark):
                 counts.setdefault(c, {}).setdefault(y, []).append(1)
         both = sum(lgamma(sum(map(len, by.values())) + 256) - lgamma(256) - sum(lgamma(len(n) + 1) for n in by.values()) for by in counts.values()) / log(2)
         assert abs(r["bits_both"] - both) < 1e-6 and abs(r["bits_a"] - adaptive_bits(BLOBS[a], 2)) < 1e-6 and abs(r["bits_b"] - adaptive_bits(BLOBS[b], 2)) < 1e-6
+
+
+@pytest.mark.parametrize("name", ["sparse_context_code_length", "stride_context_code_length", "casefold_order3_code_length"])
+def test_views_make_no_row_a_byte(spark, name):
+    assert "Generate" not in plan(queries.QUERIES[name](spark, SF))
+
+
+def test_indirect_hits_make_no_row_a_byte(spark):
+    assert "Generate" not in plan(queries.QUERIES["indirect_context_hits"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["match_hit_rate", "match_candidates"])
+def test_match_guesses_make_no_row_a_byte(spark, name):
+    assert "Generate" not in plan(queries.QUERIES[name](spark, SF))
+
+
+def folded_matches(data: bytes) -> tuple[int, int, int]:
+    """contexts.matches_of() by a fold over the bytes."""
+    last: dict[bytes, int] = {}
+    n = total = most = length = at = 0
+    for p in range(4, len(data)):
+        found = []
+        for k in (8, 4):
+            if p >= k:
+                found.append(last.get(data[p - k : p]))
+                last[data[p - k : p]] = p
+        if length == 0:
+            for place in dict.fromkeys(found):
+                if place is not None:
+                    own = 0
+                    while own < contexts_of().LONGEST and place > own and data[place - own - 1] == data[p - own - 1]:
+                        own += 1
+                    if own > length:
+                        at, length = place, own
+        if length:
+            n, total, most = n + 1, total + length, max(most, length)
+            at, length = (at + 1, length + 1) if data[at] == data[p] else (at, 0)
+    return n, total, most
+
+
+def contexts_of():
+    from bytespan.operators import contexts
+
+    return contexts
+
+
+@pytest.mark.parametrize("longest", [65535, 37])
+def test_match_lengths_of_many_blobs_equal_the_fold(monkeypatch, longest):
+    contexts = contexts_of()
+    monkeypatch.setattr(contexts, "LONGEST", longest)
+    base = bytes(rng.choices(range(256), k=2000))
+    cells = [*BLOBS, b"", b"abcd", b"a" * 900, base + base[:1500] + b"x" + base[300:1700] + base]
+    for k in (1, 2, 3, 6):
+        for n in (5, 40, 300):
+            x = bytes(rng.choices(b"abcdefgh"[:k], k=n))
+            cells += [x, x + x[3:], x + b"#" + x]
+    got = contexts.matches_of(group(*cells))
+    assert [tuple(int(x[i]) for x in got) for i in range(len(cells))] == [folded_matches(c) for c in cells]
+
+
+def test_match_lengths_keep_empty_documents(spark):
+    rows = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["match_lengths"](spark, SF).collect()}
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_rolling_costs_need_no_window_and_no_row_a_byte(spark):
+    text = plan(queries.QUERIES["rolling_bpb"](spark, SF))
+    assert "Generate" not in text and "Window" not in text
+
+
+def test_key_counts_pass_on_what_they_hold(spark, monkeypatch):
+    from bytespan.operators import contexts as module
+
+    assert "Generate" not in plan(queries.QUERIES["order3_context_top"](spark, SF))
+    monkeypatch.setattr(module, "HELD", 50)
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(BLOBS)], "doc_id long, data binary").repartition(1)
+    want = {}
+    for b in BLOBS:
+        for c, x in zip(contexts(b, 3), b, strict=True):
+            want[int.from_bytes(c + bytes([x]), "big")] = want.get(int.from_bytes(c + bytes([x]), "big"), 0) + 1
+    got = {r["key"]: r["n"] for r in module.key_counts(rows, 3).groupBy("key").sum("c").toDF("key", "n").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_grams_are_counted_before_and_dealt_by_the_size_of_the_table(spark, monkeypatch, n):
+    from bytespan.operators import contexts
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    name = ["word_bigrams", "word_trigrams"][n - 2]
+    assert "Generate" not in plan(queries.QUERIES[name](spark, SF))
+    monkeypatch.setattr(contexts, "GRAM_BYTES", 1 << 14)
+    assert "hashpartitioning(gram#" in (text := plan(contexts.word_grams(docs, n))) and f", {groups.table_bytes(docs) >> 14}), REPARTITION_BY_NUM" in text
+    monkeypatch.setattr(contexts, "GRAMS", 100)
+    cells = [(1, "A b, c's a B\nc"), (2, None), (3, ""), (4, "one"), (5, "Éa bK b c " * 70)]
+    got = {tuple(r)[:n]: r["n"] for r in contexts.word_grams(spark.createDataFrame(cells, "doc_id long, text string"), n).collect()}
+    want = {}
+    for _, t in cells:
+        w = [x.lower() for x in re.findall("[A-Za-z]+", t or "")]
+        for g in zip(*[w[k:] for k in range(n)], strict=False):
+            want[g] = want.get(g, 0) + 1
+    assert got == want
