@@ -16,9 +16,10 @@ SELECT vec_id, round(scale, 9) AS scale, array_to_string(list_transform(e, lambd
 def quantize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as whole numbers of -127 to 127 and a scale."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    v = v.withColumn("scale", F.array_max(F.transform("e", lambda x: F.abs(x))) / 127)
-    codes = F.transform("e", lambda x: F.when(F.col("scale") == 0, 0).otherwise(F.round(x / F.col("scale"))).cast("int").cast("string"))
-    return v.select("vec_id", F.round("scale", 9).alias("scale"), F.array_join(codes, ",").alias("codes"))
+    # named unlike the result: in a lambda a column of that name would be the rounded one
+    v = v.withColumn("exact", F.array_max(F.transform("e", lambda x: F.abs(x))) / 127)
+    codes = F.transform("e", lambda x: F.when(F.col("exact") == 0, 0).otherwise(F.round(x / F.col("exact"))).cast("int").cast("string"))
+    return v.select("vec_id", F.round("exact", 9).alias("scale"), F.array_join(codes, ",").alias("codes"))
 
 
 @query(f"""WITH {WIDE_SQL}, q AS (SELECT e AS q FROM v WHERE vec_id = (SELECT min(vec_id) FROM v))
