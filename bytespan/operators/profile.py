@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytespan.functions.bytes import BLOCK, blocks, byte_array, delta, entropy
+from bytespan.functions.bytes import BLOCK, blocks, byte_array
+from bytespan.functions.groups import Group, dealt, over_groups
 from bytespan.registry import query
 from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, MIXED_BLOBS_SQL, document_blobs, mixed_blobs
 
@@ -34,23 +37,60 @@ def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(mixed_blobs(spark, sf_dir)).select("doc_id", "block", (F.col("block") * BLOCK).alias("offset"), "n")
 
 
-def block_entropies(found: DataFrame) -> DataFrame:
-    """(doc_id, block, n, e0, e1, gain): entropy of each block and of its differences, and the bits that a block saves
-    as differences (its first byte as it is), from (doc_id, block, chunk).
-
-    Blocks are dealt out once, by (doc_id, block); both aggregations then run where they are."""
-    rows = found.repartition("doc_id", "block").select("doc_id", "block", byte_array("chunk").alias("b"))
-    # bytes as they are, differences 256 higher: one pass over both
-    both = F.concat("b", F.transform(delta(F.col("b")), lambda x: x + 256))
-    first = (F.get("b", F.lit(0)) + 256).alias("first")
-    counts = rows.select("doc_id", "block", first, F.explode(both).alias("v")).groupBy("doc_id", "block", "first", "v").agg(F.count("*").alias("c"))
-    own, gap = F.when(F.col("v") < 256, F.col("c")), F.when(F.col("v") >= 256, F.col("c"))
-    log = lambda x: x * F.log2(x.cast("double"))
-    same = F.coalesce(F.sum(F.when(F.col("v") == F.col("first"), F.col("c"))), F.lit(0))
-    out = counts.groupBy("doc_id", "block").agg(F.sum(own).alias("n"), entropy(own).alias("e0"), entropy(gap).alias("e1"), F.coalesce(F.sum(log(gap)), F.lit(0.0)).alias("all"), same.alias("same"))
+#: n log2 n of the counts that a block can have.
+LOGS = np.r_[0.0, np.arange(1, BLOCK + 1) * np.log2(np.arange(1, BLOCK + 1))]
+
+
+def n_log_n(n: np.ndarray) -> np.ndarray:
+    return LOGS[n] if n.max(initial=0) < len(LOGS) else n * np.log2(np.maximum(n, 1))
+
+
+def counted(values: np.ndarray, blob: np.ndarray, n: int) -> np.ndarray:
+    """[blob, value] -> how often."""
+    return np.bincount(blob.astype(np.int64) << 8 | values, minlength=n << 8).reshape(n, 256)
+
+
+def entropy_of(total: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Bits per byte of histograms of so many bytes with this sum of n log2 n, 0 without bytes."""
+    some = np.maximum(total, 1)
+    return np.maximum(np.log2(some) - logs / some, 0)
+
+
+def strided(g: Group, stride: int) -> np.ndarray:
+    """[blob, value] -> how often a byte less the one stride places before it has this value modulo 256."""
+    at = np.flatnonzero(g.place >= stride)
+    return counted(g.data[at] - g.data[at - stride], g.blob[at], g.n)
+
+
+def block_profile(g: Group) -> dict[str, np.ndarray]:
+    """For every block its size n, entropy e0, entropy e1 of its differences, gain in bits as differences (its first byte as
+    it is), and where e0 is above HIGH the least entropy of its differences at strides 1 to 4, else infinity."""
+    row, n = np.arange(g.n), g.size
+    e0 = entropy_of(n, n_log_n(counted(g.data, g.blob, g.n)).sum(1))
+    gaps = strided(g, 1)
+    logs = n_log_n(gaps).sum(1)
     # the first byte's value is one more of its kind among the differences
-    with_first = F.log2(F.col("n").cast("double")) - (F.col("all") - F.when(F.col("same") > 0, log(F.col("same"))).otherwise(0.0) + log(F.col("same") + 1)) / F.col("n")
-    return out.select("doc_id", "block", "n", "e0", "e1", (F.col("n") * (F.col("e0") - with_first)).alias("gain"))
+    same = gaps[row, g.data[g.offset[:-1]]]
+    with_first = entropy_of(n, logs - n_log_n(same) + n_log_n(same + 1))
+    e1, least = entropy_of(n - 1, logs), np.full(g.n, np.inf)
+    if len(high := np.flatnonzero(e0 > HIGH)):
+        least[high] = e1[high]
+        few = Group(np.concatenate([g.data[g.offset[i] : g.offset[i + 1]] for i in high]), np.cumsum(np.r_[0, n[high]]))
+        for stride in (2, 3, 4):
+            least[high] = np.minimum(least[high], entropy_of(few.size - stride, n_log_n(strided(few, stride)).sum(1)))
+    return {"n": n, "e0": e0, "e1": e1, "gain": n * (e0 - with_first), "least": least}
+
+
+def block_entropies(found: DataFrame) -> DataFrame:
+    """(doc_id, block, n, e0, e1, gain, least, and magic where found has it) of (doc_id, block, chunk): block_profile() of
+    every block. Blocks are dealt out once, by (doc_id, block), and counted where they are."""
+    carried = [c for c in ("magic",) if c in found.columns]
+
+    def run(rows: pa.RecordBatch, g: Group) -> dict:
+        return {c: rows.column(c) for c in ("doc_id", "block", *carried)} | block_profile(g)
+
+    rows = dealt(found.select("doc_id", "block", "chunk", *carried), "doc_id", "block")
+    return over_groups(rows, run, "doc_id long, block long, " + "".join(f"{c} boolean, " for c in carried) + "n long, e0 double, e1 double, gain double, least double", "chunk")
 
 
 @query(f"WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, v AS (SELECT doc_id, block, unnest(b) AS v FROM arrays), {entropy_sql('e', 'v')} SELECT doc_id, block, CAST(n AS BIGINT) AS n, round(e, 6) AS entropy FROM e")
@@ -61,9 +101,10 @@ def block_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def own_entropies(found: DataFrame) -> DataFrame:
     """(doc_id, block, n, entropy) of (doc_id, block, chunk)."""
-    rows = found.repartition("doc_id", "block").select("doc_id", "block", F.explode(byte_array("chunk")).alias("v"))
-    counts = rows.groupBy("doc_id", "block", "v").agg(F.count("*").alias("c"))
-    return counts.groupBy("doc_id", "block").agg(F.sum("c").alias("n"), entropy(F.col("c")).alias("entropy"))
+    def run(rows: pa.RecordBatch, g: Group) -> dict:
+        return {"doc_id": rows.column("doc_id"), "block": rows.column("block"), "n": g.size, "entropy": entropy_of(g.size, n_log_n(counted(g.data, g.blob, g.n)).sum(1))}
+
+    return over_groups(dealt(found.select("doc_id", "block", "chunk"), "doc_id", "block"), run, "doc_id long, block long, n long, entropy double", "chunk")
 
 
 DELTAS_SQL = """deltas AS (SELECT doc_id, block, s, unnest(list_transform(range(s + 1, len(b) + 1), lambda i: (b[i] - b[i - s] + 256) % 256)) AS v
@@ -76,7 +117,7 @@ SELECT a.doc_id, a.block, round(a.e, 6) AS entropy, round(coalesce(b.e, 0), 6) A
 def delta_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of each block and of the differences of its neighbouring bytes."""
     out = block_entropies(blocks(mixed_blobs(spark, sf_dir)))
-    return out.select("doc_id", "block", F.round("e0", 6).alias("entropy"), F.round(F.coalesce("e1", F.lit(0.0)), 6).alias("delta_entropy"))
+    return out.select("doc_id", "block", F.round("e0", 6).alias("entropy"), F.round("e1", 6).alias("delta_entropy"))
 
 
 @query(f"WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, v AS (SELECT doc_id, block, unnest(b) AS v FROM arrays), {entropy_sql('e', 'v')} SELECT doc_id, block, round(e, 6) AS entropy FROM e WHERE e > {HIGH}")
@@ -85,27 +126,14 @@ def high_entropy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own_entropies(blocks(mixed_blobs(spark, sf_dir))).filter(F.col("entropy") > HIGH).select("doc_id", "block", F.round("entropy", 6).alias("entropy"))
 
 
-def structured(found: DataFrame) -> DataFrame:
-    """(doc_id, block, incompressible) of high-entropy blocks (doc_id, block, chunk): whether no difference at
-    strides 1 to 4 falls below 7 bits. Called on the few blocks that are above 7.5."""
-    rows = found.select("doc_id", "block", byte_array("chunk").alias("b"))
-    higher = lambda s: lambda x: x + 256 * s
-    values = F.concat(*[F.transform(delta(F.col("b"), s), higher(s)) for s in (1, 2, 3, 4)])
-    counts = rows.repartition("doc_id", "block").select("doc_id", "block", F.explode(values).alias("v")).groupBy("doc_id", "block", "v").agg(F.count("*").alias("c"))
-    by_stride = counts.groupBy("doc_id", "block", F.floor(F.col("v") / 256).alias("s")).agg(entropy(F.col("c")).alias("e"))
-    return by_stride.groupBy("doc_id", "block").agg(F.min("e").alias("least")).select("doc_id", "block", (F.col("least") >= STRUCTURED).alias("incompressible"), "least")
-
-
 @query(f"""WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, {DELTAS_SQL}, v AS (SELECT doc_id, block, unnest(b) AS v FROM arrays), {entropy_sql('e', 'v')},
 {entropy_sql('d', 'deltas', 'doc_id, block, s')}, m AS (SELECT doc_id, block, min(e) AS least FROM d GROUP BY doc_id, block)
 SELECT e.doc_id, e.block, round(e.e, 6) AS entropy, round(m.least, 6) AS least_delta_entropy, m.least >= {STRUCTURED} AS incompressible
 FROM e JOIN m ON e.doc_id = m.doc_id AND e.block = m.block WHERE e.e > {HIGH}""")
 def incompressible_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High-entropy blocks, and whether some stride shows structure."""
-    found = blocks(mixed_blobs(spark, sf_dir))
-    high = high_entropy_blocks(spark, sf_dir)
-    probe = structured(found.join(high, ["doc_id", "block"], "left_semi"))
-    return high.join(probe, ["doc_id", "block"]).select("doc_id", "block", "entropy", F.round("least", 6).alias("least_delta_entropy"), "incompressible")
+    high = block_entropies(blocks(mixed_blobs(spark, sf_dir))).filter(F.col("e0") > HIGH)
+    return high.select("doc_id", "block", F.round("e0", 6).alias("entropy"), F.round("least", 6).alias("least_delta_entropy"), (F.col("least") >= STRUCTURED).alias("incompressible"))
 
 
 def magic_label(data: Column | str) -> Column:
@@ -128,14 +156,9 @@ def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified(blobs: DataFrame) -> DataFrame:
     """(doc_id, block, n, e0, e1, gain, passthrough, use_delta, use_transform) of every block."""
-    whole = blobs.select("doc_id", magic_label("data").isNotNull().alias("magic"))
-    found = blocks(blobs)
-    e = block_entropies(found)
-    high = e.filter(F.col("e0") > HIGH).select("doc_id", "block")
-    probe = structured(found.join(high, ["doc_id", "block"], "left_semi")).select("doc_id", "block", "incompressible")
-    e = e.join(probe, ["doc_id", "block"], "left").join(whole.filter("magic"), "doc_id", "left")
-    through = F.coalesce("magic", F.lit(False)) | F.coalesce("incompressible", F.lit(False))
-    gain = F.coalesce(F.col("e1") < F.col("e0") - DELTA_GAIN, F.lit(False))
+    e = block_entropies(blocks(blobs.withColumn("magic", magic_label("data").isNotNull()), BLOCK, "magic"))
+    through = F.col("magic") | ((F.col("e0") > HIGH) & (F.col("least") >= STRUCTURED))
+    gain = F.col("e1") < F.col("e0") - DELTA_GAIN
     e = e.select("doc_id", "block", "n", "e0", "e1", "gain", through.alias("passthrough"), (~through & gain).alias("use_delta"))
     return e.withColumn("use_transform", ~F.col("passthrough") & ~F.col("use_delta") & (F.col("e0") < TRANSFORM_BELOW))
 

@@ -8,11 +8,15 @@ one and knows the others' gain to be 0.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytespan.functions.bytes import blocks, byte_array, entropy
-from bytespan.operators.profile import BLOCKS_SQL, CLASSIFIED_SQL, classified, entropy_sql
+from bytespan.functions.bytes import blocks, byte_array
+from bytespan.functions.groups import Group, dealt, over_groups
+from bytespan.operators.profile import BLOCKS_SQL, CLASSIFIED_SQL, block_entropies, classified, entropy_sql
 from bytespan.registry import query
 from bytespan.sources.blobs import MIXED_BLOBS_SQL, derived_blobs, mixed_blobs
 
@@ -105,12 +109,7 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 def delta_gain(found: DataFrame) -> DataFrame:
     """(doc_id, block, n, gain): the bits that differences save on each block (doc_id, block, chunk)."""
-    rows = found.repartition("doc_id", "block").select("doc_id", "block", byte_array("chunk").alias("b"))
-    both = F.concat("b", F.transform(difference(F.col("b")), lambda x: x + 256))
-    counts = rows.select("doc_id", "block", F.explode(both).alias("v")).groupBy("doc_id", "block", "v").agg(F.count("*").alias("c"))
-    own, gap = F.when(F.col("v") < 256, F.col("c")), F.when(F.col("v") >= 256, F.col("c"))
-    out = counts.groupBy("doc_id", "block").agg(F.sum(own).alias("n"), entropy(own).alias("e0"), entropy(gap).alias("e1"))
-    return out.select("doc_id", "block", "n", (F.col("n") * (F.col("e0") - F.col("e1"))).alias("gain"))
+    return block_entropies(found).select("doc_id", "block", "n", "gain")
 
 
 OPS_SQL = """
@@ -178,11 +177,19 @@ def block_tags(blobs: DataFrame) -> DataFrame:
     return c.select("doc_id", "block", tag.alias("tag"), "n")
 
 
+#: mask() by 15 and scale() by 5 / 3 of every byte value.
+MASKED, SCALED = bytes(x & 15 for x in range(256)), bytes(min(x * 5 // 3, 255) for x in range(256))
+
+
 @query(f"""WITH {MIXED_BLOBS_SQL}, {BLOCKS_SQL}, d AS (SELECT doc_id, block, list_reverse(b) AS mirror, list_transform(b, lambda x: x & 15) AS mask, flatten(list_transform(range(3), lambda i: b)) AS repeat,
 list_transform(b, lambda x: least(x * 5 // 3, 255)) AS scale FROM arrays)
 SELECT doc_id, block, {", ".join(f"sha256(unhex(list_aggregate(list_transform({c}, lambda x: printf('%02X', x)), 'string_agg', ''))) AS {c}" for c in ("mirror", "mask", "repeat", "scale"))} FROM d""")
 def transform_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every block mirrored, masked, repeated and scaled: the transforms that no search tries."""
-    rows = blocks(mixed_blobs(spark, sf_dir)).repartition("doc_id", "block").select("doc_id", "block", byte_array("chunk").alias("b"))
-    made = {"mirror": mirror(F.col("b")), "mask": mask(F.col("b"), 15), "repeat": repeat(F.col("b"), 3), "scale": scale(F.col("b"), 5, 3)}
-    return rows.select("doc_id", "block", *[F.sha2(as_bytes(m), 256).alias(name) for name, m in made.items()])
+    def run(rows: pa.RecordBatch, g: Group) -> dict:
+        cells = [g.data[a:b].tobytes() for a, b in zip(g.offset[:-1], g.offset[1:], strict=True)]
+        made = {"mirror": lambda c: c[::-1], "mask": lambda c: c.translate(MASKED), "repeat": lambda c: c * 3, "scale": lambda c: c.translate(SCALED)}
+        return {"doc_id": rows.column("doc_id"), "block": rows.column("block")} | {name: [hashlib.sha256(f(c)).hexdigest() for c in cells] for name, f in made.items()}
+
+    rows = dealt(blocks(mixed_blobs(spark, sf_dir)).select("doc_id", "block", "chunk"), "doc_id", "block")
+    return over_groups(rows, run, "doc_id long, block long, mirror string, mask string, repeat string, scale string", "chunk")

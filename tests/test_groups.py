@@ -206,3 +206,30 @@ def test_grams_are_counted_before_and_dealt_by_the_size_of_the_table(spark, monk
         for g in zip(*[w[k:] for k in range(n)], strict=False):
             want[g] = want.get(g, 0) + 1
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["archive_flags", "codec_plan", "block_classify", "stream_split", "delta_entropy", "best_transform", "transform_gains", "block_entropy"])
+def test_blocks_are_counted_without_rows_of_bytes_or_joins(spark, name):
+    text = plan(queries.QUERIES[name](spark, SF))
+    assert "explode(concat" not in text and "explode(transform(filter" not in text and "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
+
+
+def test_digests_are_of_bytes_not_of_arrays(spark):
+    assert "array_join" not in plan(queries.QUERIES["transform_digests"](spark, SF)).split("MapInArrow")[0] and "MapInArrow" in plan(queries.QUERIES["transform_digests"](spark, SF))
+
+
+def test_block_profile_equals_brute_force():
+    from bytespan.operators import profile
+
+    def entropy(values) -> float:
+        counts = [list(values).count(v) for v in set(values)]
+        return max(log2(sum(counts)) - sum(c * log2(c) for c in counts) / sum(counts), 0.0) if counts else 0.0
+
+    noise = bytes(random.Random(1).choices(range(256), k=4096))
+    cells = [*BLOBS, noise, bytes(x * 7 % 256 for x in range(4096)), b"\0\1" * 7]
+    got = profile.block_profile(group(*cells))
+    for i, b in enumerate(cells):
+        gaps = lambda s: [(x - y) % 256 for x, y in zip(b[s:], b, strict=False)]
+        e0 = entropy(b)
+        want = {"n": len(b), "e0": e0, "e1": entropy(gaps(1)), "gain": len(b) * (e0 - entropy([b[0], *gaps(1)])), "least": min(entropy(gaps(s)) for s in (1, 2, 3, 4)) if e0 > profile.HIGH else np.inf}
+        assert all(np.isclose(got[k][i], v, atol=1e-7) for k, v in want.items()), (i, {k: got[k][i] for k in want}, want)
