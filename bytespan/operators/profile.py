@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytespan.functions.bytes import BLOCK, blocks, byte_array
-from bytespan.functions.groups import Group, dealt, over_groups
+from bytespan.functions.groups import Group, bytes_of, dealt, over_batches, over_groups
 from bytespan.registry import query
 from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, MIXED_BLOBS_SQL, document_blobs, mixed_blobs
 
@@ -223,8 +225,17 @@ def char_class(value: Column) -> Column:
 
 
 def byte_counts(blobs: DataFrame) -> DataFrame:
-    """(b, n): how often each byte value occurs in all blobs."""
-    return blobs.select(F.explode(byte_array("data")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    """(b, n): how often each byte value occurs in all blobs; each task adds up its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        n = np.zeros(256, np.int64)
+        for batch in batches:
+            data, offset = bytes_of(batch.column("data"))
+            n += np.bincount(data[offset[0] : offset[-1]], minlength=256)
+        some = np.flatnonzero(n)
+        yield {"b": some.astype(np.int32), "n": n[some]}
+
+    cells = blobs.select("data").filter(F.octet_length("data") > 0)
+    return over_batches(cells, run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
 
 
 COUNTS_SQL = "counts AS (SELECT ('0x' || x)::INT AS b, count(*) AS n FROM (SELECT unnest(regexp_extract_all(h, '..')) AS x FROM blobs) GROUP BY 1)"

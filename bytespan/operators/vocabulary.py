@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytespan.functions.workers import ship
+from bytespan.functions.groups import bytes_of, dealt, over_batches
 from bytespan.operators.profile import COUNTS_SQL, byte_counts
 from bytespan.registry import query
 from bytespan.sources.blobs import DOCUMENT_BLOBS_SQL, document_blobs, table
@@ -141,50 +142,60 @@ def dict_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n_runs"), n("whole").alias("n_whole"), n("bare").alias("n_bare"), n("plain").alias("n_plain"), F.sum(size).alias("coded_bytes"))
 
 
-def encode_blob(data: bytes, words: list[str], unused: list[int], n_single: int) -> bytes:
-    """data with dictionary words replaced by tokens. Token values are bytes that data doesn't use."""
-    index = {w.encode(): i for i, w in enumerate(words)}
-    token = lambda i: bytes([unused[i]]) if i < n_single else bytes([unused[n_single + (i - n_single) // 256], (i - n_single) % 256])
-    def put(m: re.Match) -> bytes:
+class Codec:
+    """A dictionary's tokens, for any number of blobs."""
+
+    def __init__(self, words: list[str], unused: list[int], n_single: int):
+        token = lambda i: bytes([unused[i]]) if i < n_single else bytes([unused[n_single + (i - n_single) // 256], (i - n_single) % 256])
+        self.tokens = {w.encode(): token(i) for i, w in enumerate(words) if len(w.encode()) <= MAX_WORD}
+        singles = {bytes([b]): words[i].encode() for i, b in enumerate(unused[:n_single]) if i < len(words)}
+        self.words = singles | {bytes([b, k]): words[i].encode() for j, b in enumerate(unused[n_single:]) for k in range(256) if (i := n_single + 256 * j + k) < len(words)}
+        kinds = [b"[" + b"".join(map(re.escape, singles)) + b"]"] if singles else []
+        if leads := unused[n_single:]:
+            kinds.append(b"[" + b"".join(re.escape(bytes([b])) for b in leads) + b"](?s:.)")
+        self.token = re.compile(b"|".join(kinds)) if kinds else None
+
+    def put(self, m: re.Match) -> bytes:
         run = m.group()
-        if len(run) <= MAX_WORD and run in index:
-            return token(index[run])
-        if len(run) <= MAX_WORD and run[:1] == b" " and run[1:] in index:
-            return b" " + token(index[run[1:]])
-        return run
+        if (found := self.tokens.get(run)) is not None:
+            return found
+        # a run that is too long with its blank is left whole
+        return b" " + found if len(run) <= MAX_WORD and run[:1] == b" " and (found := self.tokens.get(run[1:])) is not None else run
+
+    def encode(self, data: bytes) -> bytes:
+        return RUNS.sub(self.put, data)
+
+    def decode(self, data: bytes) -> bytes:
+        return self.token.sub(lambda m: self.words[m.group()], data) if self.token else data
 
-    return re.sub(rb" ?[A-Za-z0-9]+", put, data)
+
+RUNS = re.compile(rb" ?[A-Za-z0-9]+")
+
+
+def encode_blob(data: bytes, words: list[str], unused: list[int], n_single: int) -> bytes:
+    """data with dictionary words replaced by tokens. Token values are bytes that data doesn't use."""
+    return Codec(words, unused, n_single).encode(data)
 
 
 def decode_blob(data: bytes, words: list[str], unused: list[int], n_single: int) -> bytes:
-    singles, leads = {b: i for i, b in enumerate(unused[:n_single])}, {b: i for i, b in enumerate(unused[n_single:])}
-    out, at = bytearray(), 0
-    while at < len(data):
-        b = data[at]
-        if b in singles and singles[b] < len(words):
-            out += words[singles[b]].encode()
-        elif b in leads:
-            at += 1
-            out += words[n_single + 256 * leads[b] + data[at]].encode()
-        else:
-            out.append(b)
-        at += 1
-    return bytes(out)
+    return Codec(words, unused, n_single).decode(data)
 
 
 @query()
 def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenised with the corpus dictionary and read back: sizes and whether the bytes are the same."""
-    ship(spark)
     letters = token_alphabet(spark, sf_dir).first()
     words = [r["word"] for r in dictionary_build(spark, sf_dir).orderBy("idx").collect()]  # at most 24 + 40 x 256
     unused = sorted(r["b"] for r in unused_bytes(spark, sf_dir).collect())[: letters["n_single"] + letters["n_lead"]]
     n_single = letters["n_single"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            coded = [encode_blob(bytes(d), words, unused, n_single) for d in frame["data"]]
-            same = [decode_blob(c, words, unused, n_single) == bytes(d) for c, d in zip(coded, frame["data"], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": [len(d) for d in frame["data"]], "coded_bytes": [len(c) for c in coded], "same": same})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        codec = Codec(words, unused, n_single)
+        for batch in batches:
+            data, offset = bytes_of(batch.column("data"))
+            cells = [data[a:b].tobytes() for a, b in zip(offset[:-1], offset[1:], strict=True)]
+            coded = [codec.encode(c) for c in cells]
+            same = [codec.decode(x) == c for x, c in zip(coded, cells, strict=True)]
+            yield {"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offset), "coded_bytes": np.array([len(c) for c in coded], np.int64), "same": np.array(same, bool)}
 
-    return document_blobs(spark, sf_dir).mapInPandas(run, "doc_id long, n_bytes long, coded_bytes long, same boolean")
+    return over_batches(dealt(document_blobs(spark, sf_dir), "doc_id"), run, "doc_id long, n_bytes long, coded_bytes long, same boolean")

@@ -233,3 +233,24 @@ def test_block_profile_equals_brute_force():
         e0 = entropy(b)
         want = {"n": len(b), "e0": e0, "e1": entropy(gaps(1)), "gain": len(b) * (e0 - entropy([b[0], *gaps(1)])), "least": min(entropy(gaps(s)) for s in (1, 2, 3, 4)) if e0 > profile.HIGH else np.inf}
         assert all(np.isclose(got[k][i], v, atol=1e-7) for k, v in want.items()), (i, {k: got[k][i] for k in want}, want)
+
+
+def test_byte_values_are_counted_by_task(spark):
+    from bytespan.operators import profile
+
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([*BLOBS, b""])] + [(99, None)], "doc_id long, data binary")
+    counts = profile.byte_counts(rows)
+    assert "Generate" not in plan(counts)
+    want = np.bincount(np.frombuffer(b"".join(BLOBS), np.uint8))
+    assert {r["b"]: r["n"] for r in counts.collect()} == {b: n for b, n in enumerate(want.tolist()) if n}
+
+
+def test_a_dictionary_serves_many_blobs():
+    from bytespan.operators import vocabulary
+
+    words = ["one", " two", "three3", *sorted(f"w{i}" for i in range(700))]
+    codec = vocabulary.Codec(words, [0, 93, 94, 92, 45], 2)
+    for data in (b"", b"one two  two three3", " wörd w17 w699 one".encode(), b"x" * 41 + b" one" + b" " + b"w1" * 30):
+        assert codec.decode(codec.encode(data)) == data
+    assert codec.encode(b"one two one w0") == b"\0" + b"]" + b" \0 " + codec.tokens[b"w0"]
+    assert vocabulary.Codec([], [], 0).decode(vocabulary.Codec([], [], 0).encode(b"one")) == b"one"
