@@ -139,22 +139,22 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(values, np.uint8) if values is not None and values.size else np.zeros(0, np.uint8), offset
 
 
-def cuts(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that make a group, by the bytes of each row."""
+def cuts(size: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that make a group of most bytes (GROUP), by the bytes of each row."""
     ends, a = np.cumsum(size), 0
     while a < len(size):
-        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + GROUP, "right"))
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (most or GROUP), "right"))
         b = min(max(b, a + 1), a + BLOBS, len(size))
         yield a, b
         a = b
 
 
-def groups(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, Group]]:
+def groups(batch: pa.RecordBatch, name: str, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, Group]]:
     """Rows of a batch and the group of their blobs, the binary column name."""
     if not batch.num_rows:
         return
     data, offset = bytes_of(batch.column(name))
-    for a, b in cuts(np.diff(offset)):
+    for a, b in cuts(np.diff(offset), most):
         yield batch.slice(a, b - a), Group(data[offset[a] : offset[b]], offset[a : b + 1] - offset[a])
 
 
@@ -181,12 +181,12 @@ def over_batches(rows: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterat
     return rows.mapInArrow(run, schema)
 
 
-def over_groups(rows: DataFrame, f: Callable[[pa.RecordBatch, Group], dict], schema: str, name: str = "data", empty: bool = False) -> DataFrame:
+def over_groups(rows: DataFrame, f: Callable[[pa.RecordBatch, Group], dict], schema: str, name: str = "data", empty: bool = False, most: int | None = None) -> DataFrame:
     """f over groups of the blobs in the binary column name, with their rows; it returns columns by name. Empty blobs are
-    left out, unless empty says otherwise."""
+    left out, unless empty says otherwise; most: bytes of a group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for found, g in groups(batch, name):
+            for found, g in groups(batch, name, most):
                 yield f(found, g)
 
     return over_batches(rows if empty else rows.filter(F.octet_length(name) > 0), run, schema)

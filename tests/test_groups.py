@@ -254,3 +254,18 @@ def test_a_dictionary_serves_many_blobs():
         assert codec.decode(codec.encode(data)) == data
     assert codec.encode(b"one two one w0") == b"\0" + b"]" + b" \0 " + codec.tokens[b"w0"]
     assert vocabulary.Codec([], [], 0).decode(vocabulary.Codec([], [], 0).encode(b"one")) == b"one"
+
+
+def test_coders_take_many_blocks_of_any_size(spark):
+    from bytespan.operators import coder, profile
+
+    assert "MapInArrow" in plan(queries.QUERIES["ans_roundtrip"](spark, SF))
+    cells = [*BLOBS, b"", bytes(4096), bytes(range(256)) * 16]
+    g = group(*cells)
+    tables = coder.frequency_tables(profile.counted(g.data, g.blob, g.n))
+    assert all(t.sum() == coder.SCALE for t, c in zip(tables, cells, strict=True) if c)
+    chunks = [np.frombuffer(c, np.uint8) for c in cells]
+    streams = coder.ans_encode(chunks, tables)
+    assert coder.ans_decode(streams, [len(c) for c in cells], tables) == cells
+    # a block's stream doesn't depend on its neighbours
+    assert all(coder.ans_encode([c], tables[i : i + 1])[0] == streams[i] for i, c in enumerate(chunks))
