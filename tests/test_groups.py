@@ -269,3 +269,31 @@ def test_coders_take_many_blocks_of_any_size(spark):
     assert coder.ans_decode(streams, [len(c) for c in cells], tables) == cells
     # a block's stream doesn't depend on its neighbours
     assert all(coder.ans_encode([c], tables[i : i + 1])[0] == streams[i] for i, c in enumerate(chunks))
+
+
+def test_mixer_weights_in_lockstep_equal_the_recurrence(spark):
+    from bytespan.operators import coder
+
+    text = plan(queries.QUERIES["mixer_weights"](spark, SF))
+    assert "MapInArrow" in text and "Exchange hashpartitioning(conv_id" in text
+    cells = [b"", b"a", b"abcd", b"abcdabcdabcd" * 9, b"aab\0\0" * 30, *BLOBS]
+    got = coder.mixer_weights_in(group(*cells))
+    for i, data in enumerate(cells):
+        w, run, place = np.full(7, 1 / 7), 0, {}
+        seen = {}
+        for t, x in enumerate(data):
+            p = [1 / 256]
+            for order in (1, 2, 4, 8):
+                c = (b"\0" * order + data)[t : t + order]
+                p.append((seen.get((order, c, x), 0) + 1) / (seen.get((order, c), 0) + 256))
+                seen[order, c, x], seen[order, c] = seen.get((order, c, x), 0) + 1, seen.get((order, c), 0) + 1
+            boost = (1 - np.exp(-0.1 * run)) * 0.99
+            p.append(((boost if x == data[t - 1] else 0.0) + (1 - boost) / 255) if t else 1 / 256)
+            run = run + 1 if t and x == data[t - 1] else 1
+            q = place.get(data[t - 4 : t]) if t >= 4 else None
+            p.append(1 / 256 if q is None else (0.9 if data[q] == x else 0.0) + 0.1 / 255)
+            if t >= 4:
+                place[data[t - 4 : t]] = t
+            w = np.exp(w + 0.001 * np.log(p))
+            w /= w.sum()
+        assert np.allclose(got[i], w, rtol=1e-12)
