@@ -297,3 +297,15 @@ def test_mixer_weights_in_lockstep_equal_the_recurrence(spark):
             w = np.exp(w + 0.001 * np.log(p))
             w /= w.sum()
         assert np.allclose(got[i], w, rtol=1e-12)
+
+
+def test_locksteps_hold_segments_of_like_length(monkeypatch):
+    from bytespan.operators import coder
+
+    monkeypatch.setattr(coder, "SEGMENTS", 4)
+    size = np.array([9, 1, 2048, 3, 2048, 1, 2000, 2048, 2, 5])
+    found = [size[x].tolist() for x in coder.locksteps(size)]
+    assert found == [[2048, 2048, 2048, 2000], [9, 5, 3, 2], [1, 1]] and list(coder.locksteps(size[:0])) == []
+    # flat tables: a segment's stream doesn't depend on its neighbours
+    cells = [b"abcabcabc" * 5, b"", b"x", "Ünï cödé ".encode() * 6]
+    assert coder.mix_encode(cells) == [coder.mix_encode([c])[0] for c in cells]
