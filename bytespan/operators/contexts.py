@@ -176,7 +176,7 @@ def word_grams(docs: DataFrame, n: int) -> DataFrame:
     table_of = lambda counts: {"gram": pa.array(counts.keys(), pa.binary()).cast(pa.string()), "c": pa.array(counts.values(), pa.int64())}
     texts = docs.filter(F.col("text").isNotNull())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(docs) // GRAM_BYTES)
-    grams = over_batches(dealt(texts.select("doc_id", F.encode("text", "UTF-8").alias("data")), "doc_id"), run, "gram string, c long")
+    grams = over_batches(texts.select(F.encode("text", "UTF-8").alias("data")), run, "gram string, c long")
     grams = grams.repartition(parts, "gram").groupBy("gram").agg(F.sum("c").alias("n"))
     words = F.split("gram", " ")
     return grams.select(*[words[k].alias(f"w{k + 1}") for k in range(n)], "n")
